@@ -27,6 +27,18 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), tokenizer_path()).withColumnRenamed("key", "doc_id")
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspan.llm.secrets_scan import scan_secrets
+
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspan.llm.fingerprint import edited_fingerprints
+
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspan.llm import common, warc
 
