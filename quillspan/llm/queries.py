@@ -33,6 +33,24 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspan.llm.ngram_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+ORACLE_NGRAM = r"""
+with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+s as (select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) s from w),
+n as (select doc_id, count(*) n from s group by 1),
+i as (select a.doc_id u, b.doc_id v, count(*) i from s a join s b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+l as materialized (select u, v from i join n a on a.doc_id = u join n b on b.doc_id = v where 100 * i >= 80 * (a.n + b.n - i)),
+c(doc_id, r) as (select doc_id, doc_id from n union select l.v, c.r from c join l on l.u = c.doc_id where c.r < l.v)
+select w.doc_id, coalesce(n, 0)::bigint n_shingles, least(w.doc_id, coalesce(r, w.doc_id)) component_id
+from w left join n using (doc_id) left join (select doc_id, min(r) r from c group by 1) x using (doc_id)
+"""
+
+
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspan.llm.fingerprint import edited_fingerprints
 
@@ -64,4 +82,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_warc": ORACLE_WARC}
+    return {"op7_ngram_join": ORACLE_NGRAM, "op10_warc": ORACLE_WARC}
