@@ -27,6 +27,23 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), tokenizer_path()).withColumnRenamed("key", "doc_id")
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspan.llm import language
+
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs, where=~language.held_out("k", 5, 0))
+    out = language.identify(docs, model)
+    return out.select("doc_id", language.held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score", "n_words", "n_other")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspan.llm import language, toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~language.held_out("k", 4, 2))
+    return toxicity.score_texts(docs, model).select("doc_id", language.held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted")
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspan.llm.secrets_scan import scan_secrets
 
