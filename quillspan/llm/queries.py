@@ -21,6 +21,13 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each contaminated document and benchmark item; clean documents have none."""
+    from quillspan.llm import decontaminate
+
+    return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspan.llm.token_store import encode_corpus
 
