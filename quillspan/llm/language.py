@@ -211,6 +211,20 @@ def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     return src.mapInArrow(run, "doc_id long, lang_pred string, score double, n_words long, n_other long")
 
 
+def known(df: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``df`` whose text is of a known language by at least ``least`` of its words' posteriors; narrow."""
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in common.texts(batch, text):
+                rows = batch.slice(lo, hi - lo)
+                got = model.predict([t or "" for t in rows.column(at).to_pylist()])
+                yield rows.filter(pa.array([g[0] != NONE and g[1] >= least for g in got], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def held_out(key: str, of: int, at: int):  # noqa: ANN201
     """Whether crc32 of the id as text leaves the remainder ``at``."""
     return F.coalesce(F.crc32(F.col(key).cast("string")) % of == at, F.lit(False))

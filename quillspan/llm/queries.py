@@ -75,6 +75,12 @@ from w left join n using (doc_id) left join (select doc_id, min(r) r from c grou
 """
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspan.llm import mixing
+
+    return mixing.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspan.llm.fingerprint import edited_fingerprints
 
