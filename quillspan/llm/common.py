@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +36,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, tag)
     df.write.parquet(path)
+    gc.collect()  # shuffle files of what is now written go when the driver's objects do
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -106,3 +110,66 @@ def range_buckets(df: DataFrame, key: str, size: str | None = "text", target: in
         inside = F.array_size(F.filter(F.coalesce(F.try_element_at(table, block + 1), F.lit([]).cast("array<long>")), lambda b: b < F.col(key)))
         at = F.coalesce(block * step + inside, F.lit(0))
     return df.withColumn("_bucket", at.cast("int")), [int(b) for b in bounds], len(bounds) + 1
+
+
+def by_hash(df: DataFrame, key: str, n: int, count: int) -> DataFrame:
+    """About ``n`` of the ``count`` rows of ``df``: those whose key's hash is below a bound. What is gathered doesn't grow with the table."""
+    if count <= n:
+        return df
+    return df.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, n / count)))
+
+
+#: Bits of a Bloom filter at least and at most; beyond that it lets more pass, and is never wrong about a member.
+BLOOM_BITS = (1 << 16, 1 << 27)
+
+
+def bloom(ids: DataFrame, key: str) -> np.ndarray:
+    """A Bloom filter (two bits an id) of a column of longs, of bounded size: words of bits are or-ed by Spark."""
+    n = ids.count()
+    bits = min(BLOOM_BITS[1], max(BLOOM_BITS[0], 1 << (12 * max(1, n)).bit_length()))
+    at = F.explode(F.array(*[F.pmod(F.xxhash64(F.col(key), F.lit(i)), F.lit(bits)) for i in range(2)]))
+    words = ids.select(at.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v"))
+    out = np.zeros(bits // 64, np.int64)
+    for r in words.toLocalIterator():
+        out[r.w] = r.v
+    return out
+
+
+def _xxhash64(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of a long by a seed."""
+    u = np.uint64
+    p1, p2, p3, p4, p5 = (u(v) for v in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    rot = lambda v, k: (v << u(k)) | (v >> u(64 - k))
+    h = seed + p5 + u(8)
+    h = h ^ (rot(x * p2, 31) * p1)
+    h = rot(h, 27) * p1 + p4
+    h ^= h >> u(33)
+    h *= p2
+    h ^= h >> u(29)
+    h *= p3
+    return h ^ (h >> u(32))
+
+
+def _xxhash64_int(v: int, seed: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of an int by a seed."""
+    u = np.uint64
+    p1, p2, p3, p5 = (u(v) for v in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+    h = seed + p5 + u(4)
+    h = h ^ (np.full(len(seed), v, u) * p1)
+    h = ((h << u(23)) | (h >> u(41))) * p2 + p3
+    h ^= h >> u(33)
+    h *= p2
+    h ^= h >> u(29)
+    h *= p3
+    return h ^ (h >> u(32))
+
+
+def may_hold(bits: np.ndarray, ids: pa.Array) -> np.ndarray:
+    """Which of the ids the filter may hold; no null."""
+    x = np.asarray(ids.fill_null(0).to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
+    ok = np.asarray(ids.is_valid().to_numpy(zero_copy_only=False))
+    first = _xxhash64(x, np.full(len(x), 42, np.uint64))
+    for i in range(2):
+        b = _xxhash64_int(i, first).view(np.int64) % (64 * len(bits))
+        ok &= (bits[b >> 6] >> (b & 63)) & 1 == 1
+    return ok

@@ -5,7 +5,8 @@ own band and the next, so that any two sets that can link sign for a common one.
 difference has at most k elements. The domain of hashes is cut into n > k parts, of which at least n - k then
 hold the same elements in both sets. Each subset of t of the parts (t = n - k, or fewer where n is
 larger) that a set has elements in is a signature: the hash of the elements in these parts. Sets that link
-share one. If so many parts of a set are empty that all common ones may be, it signs for empty ones also;
+share one; where parts are single, they share so many that a document with fewer shared ones can't link
+and is left out. If so many parts of a set are empty that all common ones may be, it signs for empty ones also;
 so no link is lost.
 
 Signatures go to their buckets in packed blocks; a bucket is sorted in one task, 16 bytes a signature,
@@ -61,7 +62,7 @@ def plan(end: int, num: int = NUM, den: int = DEN) -> tuple[int, int, np.ndarray
         return n, k, np.array(list(combinations(range(n), n - k)))
     if k <= 12:
         return k + 2, k, np.array(list(combinations(range(k + 2), 2)))
-    return k + 3 + -(-6 * k // 100), k, None
+    return k + 3 + -(-15 * k // 100), k, None
 
 
 @lru_cache(maxsize=1024)
@@ -72,32 +73,39 @@ def seeds(end: int, n: int) -> np.ndarray:
 _ENDS = np.array(band_ends(1 << 40))
 
 
-def signatures(x: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
-    """Signatures of a set of sorted distinct hashes."""
+def signatures(x: np.ndarray, num: int = NUM, den: int = DEN) -> tuple[np.ndarray, list[int]]:
+    """Signatures of a set of sorted distinct hashes; and how many, of those of an even and of an odd band, any set that links shares at least.
+
+    The lowest bit of a signature is its band's: of a set's two bands one is even.
+    """
     ends = _ENDS if (num, den) == (NUM, DEN) else np.array(band_ends(1 << 40, num, den))
     i = int(np.searchsorted(ends, len(x)))
     deep = mix(x * U(0xA24BAED4963EE407) + U(1))
     top = x >> U(32)
-    out = []
-    for end in ends[i : i + 2].tolist():
+    out, least = [], [1, 1]
+    for band in (i, i + 1):
+        end = int(ends[band])
         n, k, subsets = plan(end, num, den)
         part = ((top * U(n)) >> U(32)).astype(np.int64)  # rises with x
         first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
         sums, full = np.add.reduceat(deep, first), part[first]
         empties = n - len(full) >= n - k  # then all parts in common may be empty
         if subsets is None:
-            out.append(mix(sums ^ seeds(end, n)[full]))
+            sig = mix(sums ^ seeds(end, n)[full])
             if empties and k:
                 none = np.ones(n, bool)
                 none[full] = False
-                out.append(mix(seeds(end, n)[none]))
-            continue
-        held = np.zeros(n, U)
-        held[full] = sums
-        weigh = seeds(end + (1 << 50), subsets.shape[1]) | U(1)
-        sig = mix((mix(held)[subsets] * weigh).sum(1, dtype=U) ^ seeds(end, len(subsets)))
-        out.append(sig if empties else sig[(held[subsets] != 0).any(1)])
-    return np.concatenate(out)
+                sig = np.concatenate([sig, mix(seeds(end, n)[none])])
+            else:
+                least[band & 1] = len(full) - k
+        else:
+            held = np.zeros(n, U)
+            held[full] = sums
+            weigh = seeds(end + (1 << 50), subsets.shape[1]) | U(1)
+            sig = mix((mix(held)[subsets] * weigh).sum(1, dtype=U) ^ seeds(end, len(subsets)))
+            sig = sig if empties else sig[(held[subsets] != 0).any(1)]
+        out.append(sig & ~U(1) | U(band & 1))
+    return np.concatenate(out), least
 
 
 def parities(x: np.ndarray) -> np.ndarray:
@@ -128,7 +136,7 @@ def signed(df: DataFrame, buckets: int, words: int, num: int, den: int) -> DataF
             full = np.flatnonzero(np.diff(cuts))
             pairs = np.stack([sig[order].view(np.int64), doc[order]], 1)
             none = pa.nulls(len(full), pa.int64())
-            return pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int32()), "doc_id": none, "n": none, "first": none, "block": pa.array([pairs[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary())})
+            return pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int32()), "doc_id": none, "n": none, "first": none, "even": none, "odd": none, "block": pa.array([pairs[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary())})
 
         held = 0
         for batch in batches:
@@ -136,8 +144,9 @@ def signed(df: DataFrame, buckets: int, words: int, num: int, den: int) -> DataF
                 rows = batch.slice(lo, hi - lo)
                 docs = rows.column(0).to_pylist()
                 sets = shingle_sets(_encoded(rows.column(1)), words)
-                first = []
+                first, least = [], []
                 for d, x in zip(docs, sets, strict=True):
+                    least.append([1, 1])
                     if not len(x) or d is None:
                         first.append(d)
                         continue
@@ -148,21 +157,22 @@ def signed(df: DataFrame, buckets: int, words: int, num: int, den: int) -> DataF
                         first.append(known)
                         continue
                     first.append(d)
-                    sigs.append(signatures(x, num, den))
+                    sig, least[-1] = signatures(x, num, den)
+                    sigs.append(sig)
                     ids.append(d)
                     held += len(sigs[-1])
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([(0 if d is None else d) % buckets for d in docs], pa.int32()), "doc_id": rows.column(0), "n": pa.array(map(len, sets), pa.int64()), "first": pa.array(first, pa.int64()), "block": pa.nulls(len(docs), pa.binary())})
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([(0 if d is None else d) % buckets for d in docs], pa.int32()), "doc_id": rows.column(0), "n": pa.array(map(len, sets), pa.int64()), "first": pa.array(first, pa.int64()), "even": pa.array([x[0] for x in least], pa.int64()), "odd": pa.array([x[1] for x in least], pa.int64()), "block": pa.nulls(len(docs), pa.binary())})
                 if held > FLUSH:
                     yield flush()
                     sigs, ids, held = [], [], 0
         if sigs:
             yield flush()
 
-    return df.mapInArrow(run, "bucket int, doc_id long, n long, first long, block binary")
+    return df.mapInArrow(run, "bucket int, doc_id long, n long, first long, even long, odd long, block binary")
 
 
 def gathered(blocks: DataFrame) -> DataFrame:
-    """Documents as they are, and the members of each signature of several documents with its smallest one. Rows come by bucket."""
+    """Documents as they are, and the members of each signature of several documents. Rows come by bucket."""
 
     def members(held: list[bytes]) -> Iterator[pa.RecordBatch]:
         pairs = np.frombuffer(b"".join(held), np.int64).reshape(-1, 2)
@@ -176,25 +186,23 @@ def gathered(blocks: DataFrame) -> DataFrame:
         order = np.lexsort((doc, sig))
         sig, doc = sig[order], doc[order]
         if len(sig):
-            new = np.concatenate(([True], sig[1:] != sig[:-1]))
-            once = new | np.concatenate(([True], doc[1:] != doc[:-1]))
-            lead = np.repeat(doc[new], np.diff(np.append(np.flatnonzero(new), len(sig))))
-            sig, doc, lead = sig[once], doc[once], lead[once]
+            once = np.concatenate(([True], (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])))
+            sig, doc = sig[once], doc[once]
         for lo in range(0, len(sig), 200_000):
             x = slice(lo, lo + 200_000)
             none = pa.nulls(len(sig[x]), pa.int64())
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc[x]), "n": none, "first": none, "sig": pa.array(sig[x]), "leader": pa.array(lead[x])})
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc[x]), "n": none, "first": none, "even": none, "odd": none, "sig": pa.array(sig[x])})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
         now = None
         for batch in batches:
-            docs = batch.filter(batch.column(4).is_null())
+            docs = batch.filter(batch.column(6).is_null())
             if len(docs):
                 none = pa.nulls(len(docs), pa.int64())
-                yield pa.RecordBatch.from_pydict({"doc_id": docs.column(1), "n": docs.column(2), "first": docs.column(3), "sig": none, "leader": none})
-            blocks = batch.filter(batch.column(4).is_valid())
-            for b, block in zip(blocks.column(0).to_pylist(), blocks.column(4).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_pydict({"doc_id": docs.column(1), "n": docs.column(2), "first": docs.column(3), "even": docs.column(4), "odd": docs.column(5), "sig": none})
+            blocks = batch.filter(batch.column(6).is_valid())
+            for b, block in zip(blocks.column(0).to_pylist(), blocks.column(6).to_pylist(), strict=True):
                 if b != now and held:
                     yield from members(held)
                     held = []
@@ -203,14 +211,15 @@ def gathered(blocks: DataFrame) -> DataFrame:
         if held:
             yield from members(held)
 
-    return blocks.mapInArrow(run, "doc_id long, n long, first long, sig long, leader long")
+    return blocks.mapInArrow(run, "doc_id long, n long, first long, even long, odd long, sig long")
 
 
-def sets_of(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, parity, items) of each document."""
+def sets_of(docs: DataFrame, words: int, ids: np.ndarray) -> DataFrame:
+    """(doc_id, n, parity, items) of the documents that may be among ``ids`` (a Bloom filter of them); narrow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(common.may_hold(ids, batch.column(0))))
             for lo, hi in common.texts(batch):
                 rows = batch.slice(lo, hi - lo)
                 sets = shingle_sets(_encoded(rows.column(1)), words)
@@ -246,11 +255,18 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     placed = blocks.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket")
     found = common.materialize(gathered(placed), "ngram-members")
     all_docs = found.where("sig is null").select("doc_id", "n", "first")
-    members = found.where("sig is not null").select("sig", "leader", F.col("doc_id").alias("doc"))
+    shared = found.where("sig is not null").select("sig", F.col("doc_id").alias("doc"))
+    # A document can only link if it shares, in one of its bands, as many signatures as any linking pair does.
+    least = found.where("sig is null and n > 0").groupBy(F.col("doc_id").alias("doc")).agg(F.min("even").alias("even"), F.min("odd").alias("odd"))
+    counts = shared.groupBy("doc").agg(F.count_if(F.col("sig").bitwiseAND(1) == 0).alias("evens"), F.count_if(F.col("sig").bitwiseAND(1) == 1).alias("odds"))
+    can = counts.join(least, "doc").where("evens >= even or odds >= odd").select("doc")
+    kept = shared.join(can, "doc", "left_semi")
+    several = kept.groupBy("sig").agg(F.min("doc").alias("leader"), F.max("doc").alias("last")).where("leader < last").drop("last")
+    members = common.materialize(kept.join(several, "sig").select("sig", "leader", "doc"), "ngram-shared")
 
     stars = common.materialize(members.where("leader <> doc").groupBy("leader", "doc").agg(F.count("*").alias("c")), "ngram-stars")
-    ids = stars.select(F.explode(F.array("leader", "doc")).alias("doc_id")).distinct()
-    sets = common.materialize(sets_of(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text"), words), "ngram-sets")
+    ids = common.bloom(stars.select(F.explode(F.array("leader", "doc")).alias("id")), "id")
+    sets = common.materialize(sets_of(docs, words, ids), "ngram-sets")
 
     # 1: each document with the leader of most of its signatures.
     best = stars.groupBy("doc").agg(F.max_by("leader", F.struct("c", -F.col("leader"))).alias("u")).select("u", F.col("doc").alias("v"))
@@ -276,3 +292,10 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     to = firsts.join(least, "root").select("first", "component_id")
     out = all_docs.withColumn("first", F.when(F.col("n") > 0, F.col("first"))).join(to, "first", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def without_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, num: int = NUM, den: int = DEN) -> DataFrame:
+    """The rows of ``df`` but those that link to a smaller id; rows that share an id stay or go together."""
+    found = jaccard_components(df, key, text, words, num, den)
+    gone = common.materialize(found.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "duplicates")
+    return df.join(gone, df[key].cast("long") == gone["_gone"], "left_anti")

@@ -52,7 +52,10 @@ def test_linking_sets_share_a_signature():
         b = np.unique(np.concatenate([keep, rng.integers(0, 1 << 64, int(rng.integers(0, max(1, len(a) // 9) + 1)), dtype=np.uint64)]))
         inter = len(np.intersect1d(a, b))
         if len(b) and 100 * inter >= 80 * (len(a) + len(b) - inter):
-            assert set(nj.signatures(a).tolist()) & set(nj.signatures(b).tolist())
+            (x, least), (y, other) = nj.signatures(a), nj.signatures(b)
+            shared = set(x.tolist()) & set(y.tolist())
+            assert shared
+            assert any(sum(s & 1 == k for s in shared) >= max(least[k], other[k], 1) for k in (0, 1))
         differ = int(np.bitwise_count((nj.parities(a) ^ nj.parities(b)).view(np.uint64)).sum()) if len(b) else 0
         assert differ <= len(a) + len(b) - 2 * inter
 
@@ -63,7 +66,7 @@ def test_sets_in_one_part_still_meet():
         a = np.arange(1, n + 1, dtype=np.uint64)
         b = a[max(1, n // 6) :] if n > 5 else a[1:]
         assert 100 * len(b) >= 80 * len(a)
-        assert set(nj.signatures(a).tolist()) & set(nj.signatures(b).tolist())
+        assert set(nj.signatures(a)[0].tolist()) & set(nj.signatures(b)[0].tolist())
 
 
 def test_components_match_brute_force(spark):
@@ -84,3 +87,14 @@ def test_repeated_ids_and_empty_table(spark):
 def test_shingle_sets_are_sorted():
     (x,) = shingle_sets([b"a b c d e f g a b c d e f g"])
     assert (np.diff(x.astype(object)) > 0).all()
+
+
+def test_bloom_filter_holds_all_members(spark):
+    import pyarrow as pa
+
+    from quillspan.llm import common
+
+    ids = [*range(-50, 3000, 7), 1 << 60, -(1 << 62)]
+    bits = common.bloom(spark.createDataFrame([(i,) for i in ids], "id long"), "id")
+    assert common.may_hold(bits, pa.array([*ids, None])).tolist() == [True] * len(ids) + [False]
+    assert common.may_hold(bits, pa.array(range(10_000, 20_000))).mean() < 0.1
