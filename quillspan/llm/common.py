@@ -31,6 +31,13 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_root(spark)}/quillspan/{tag}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Fewer rows in an Arrow batch than the default, as one text can be very long; never more than are set."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, rows)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
@@ -59,14 +66,14 @@ def put_file(uri: str, data: bytes) -> None:
     parent = path.rpartition("/")[0]
     fs.create_dir(parent, recursive=True)
     part = f"{parent}/.{uuid.uuid4().hex}"
-    with fs.open_output_stream(part) as out:
+    with fs.open_output_stream(part, compression=None) as out:
         out.write(data)
     fs.move(part, path)
 
 
 def get_file(uri: str) -> bytes:
     fs, path = filesystem(uri)
-    with fs.open_input_stream(path) as f:
+    with fs.open_input_stream(path, compression=None) as f:
         return f.read()
 
 

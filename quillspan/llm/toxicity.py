@@ -30,7 +30,7 @@ from quillspan.llm import common
 from quillspan.llm.wordtable import WordTable, points_of, runs
 
 P, DECAY, SHARP, LONGEST = 3, 0.8, 3, 24
-LANDMARKS, TRAIN_DOCS = 64, 1500
+LANDMARKS, TRAIN_DOCS = 64, 1000
 CUT = 0.3
 #: Blanks and the marks at which sentences end.
 STOPS = np.array([10, 33, 46, 63], np.uint32)
@@ -215,12 +215,18 @@ def train(rows: list[tuple[str, int]], share: float) -> Model:
         p = min(max(float(share), 1e-6), 1 - 1e-6)
         return Model([], np.zeros(0), 0.0, (0.0, float(np.log(p / (1 - p)))))
     s = Sentences([r[0] or "" for r in rows])
-    words = [s.joined[a:b] for a, b in zip(s.starts.tolist(), s.ends.tolist(), strict=True)]
-    text_of_word = np.repeat(s.text_of, np.diff(np.append(s.first, len(words))))
+    vocab: dict[str, int] = {}
+    index = np.empty(len(s.starts), np.int64)
+    for lo in range(0, len(index), 50_000):
+        part = slice(lo, lo + 50_000)
+        index[part] = [vocab.setdefault(s.joined[a:b], len(vocab)) for a, b in zip(s.starts[part].tolist(), s.ends[part].tolist(), strict=True)]
+    text_of_word = np.repeat(s.text_of, np.diff(np.append(s.first, len(index))))
     n = {0: int((y == 0).sum()), 1: int((y == 1).sum())}
-    held = {0: Counter(), 1: Counter()}
-    for w, t in {*zip(words, text_of_word.tolist(), strict=True)}:
-        held[int(y[t])][w] += 1
+    once = np.unique(text_of_word * len(vocab) + index)  # a word counts once in a text
+    label = y[once // len(vocab)]
+    counts = [np.bincount((once % len(vocab))[label == k], minlength=len(vocab)) for k in (0, 1)]
+    held = [Counter({w: int(c) for w, c in zip(vocab, counts[k].tolist(), strict=True) if c}) for k in (0, 1)]
+    del once, label, text_of_word
     odds = {w: (c + 0.5) / (n[1] + 1) * np.log(((c + 0.5) / (n[1] + 1)) / ((held[0][w] + 0.5) / (n[0] + 1))) for w, c in held[1].items() if c >= 2 and P <= len(w) <= LONGEST}
     marked = sorted(odds, key=lambda w: (-odds[w], w))
     landmarks: list[str] = []
@@ -234,15 +240,17 @@ def train(rows: list[tuple[str, int]], share: float) -> Model:
     gram = kernel(landmarks, landmarks).astype(np.float64)
     value, vector = np.linalg.eigh(gram)
     root = vector / np.sqrt(np.maximum(value, 1e-4))
-    vocab: dict[str, int] = {}
-    index = np.array([vocab.setdefault(w, len(vocab)) for w in words])
     parts = [windows(w) for w in vocab]
     k = kernel([x for p in parts for x in p], landmarks)
     each = np.fromiter(map(len, parts), np.int64, len(parts))
     k = np.maximum.reduceat(k, np.cumsum(each) - each)
-    phi = k.astype(np.float64) @ root
+    phi = (k @ root.astype(np.float32)).astype(np.float32)
     strong = np.array([max(0.0, odds.get(w, 0.0)) for w in vocab])[index]
-    sent = np.concatenate([np.add.reduceat(phi[index], s.first), np.ones((len(s.first), 1))], 1)
+    sent = np.ones((len(s.first), phi.shape[1] + 1))
+    for lo in range(0, len(s.first), 2000):  # sums over words, some sentences at a time
+        at = s.first[lo : lo + 2000]
+        end = s.first[lo + 2000] if lo + 2000 < len(s.first) else len(index)
+        sent[lo : lo + 2000, :-1] = np.add.reduceat(phi[index[at[0] : end]], at - at[0])
     worst = np.add.reduceat(strong, s.first)
     clean = np.flatnonzero(y[s.text_of] == 0)
     clean = clean[:: max(1, len(clean) // 20_000)]
@@ -268,7 +276,7 @@ def fit(docs: DataFrame, labels: DataFrame, where=None, key: str = "doc_id", tex
     counts = {r.y: r.n for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
     ids = None
     for y in (0, 1):
-        part = marks.where(F.col("y") == y).select("k", "y", F.xxhash64("k").alias("h")).orderBy("h", "k").limit(each).select("k", "y")
+        part = common.by_hash(marks.where(F.col("y") == y).select("k", "y"), "k", each, counts.get(y, 0))
         ids = part if ids is None else ids.unionByName(part)
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(ids.distinct(), "k").select("k", "t", "y").collect()
     rows = sorted(((r.k, r.t or "", r.y) for r in rows), key=lambda r: (r[0], r[2], r[1]))
