@@ -192,7 +192,8 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lan
     """Train on a bounded sample of the labelled rows: the ``docs`` first by a hash of the key."""
     src = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
     src = src.where(F.col("t").isNotNull() & F.col("l").isNotNull() & (F.lit(True) if where is None else where))
-    rows = src.select("t", "l", F.xxhash64("k").alias("h"), F.octet_length("t").alias("n")).orderBy("h", "n").limit(docs).select("t", "l").collect()
+    rows = common.by_hash(src, "k", docs, src.select("l").count()).select("k", "t", "l").collect()
+    rows = sorted(rows, key=lambda r: (str(r.k), r.t, r.l))[:docs]
     return train([(r.t, r.l) for r in rows])
 
 

@@ -79,7 +79,7 @@ def domain(rules: dict[str, str]) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, rules: dict[str, str], key: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS) -> Classifier:
     """Counts of word hashes by domain over a bounded sample of the labelled rows."""
     marks = labels.select(F.col(key).alias("k"), domain(rules).alias("d")).where("k is not null and d is not null")
-    marks = marks.withColumn("h", F.xxhash64("k")).orderBy("h", "k", "d").limit(rows).select("k", "d")
+    marks = common.by_hash(marks, "k", rows, marks.count())
     per = {r.d: r.n for r in marks.groupBy("d").agg(F.count("*").alias("n")).collect()}
     seen = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(marks, "k").select("d", F.explode(words(F.col("t"))).alias("b"))
     counts = [(r.b, r.d, r.n) for r in seen.groupBy("b", "d").agg(F.count("*").alias("n")).collect()]  # BUCKETS x domains rows at most
