@@ -88,7 +88,7 @@ class WarcWriter(DataSourceArrowWriter):
                 if out is None:
                     name = f"{uuid.uuid4().hex}.warc" + ".gz" * self.gzip
                     parts.append((f"{path}/.{name}", f"{path}/{name}"))
-                    out, size = fs.open_output_stream(parts[-1][0]), 0
+                    out, size = fs.open_output_stream(parts[-1][0], compression=None), 0
                 data = record_bytes(row)
                 data = gzip.compress(data, 1) if self.gzip else data
                 out.write(data)
