@@ -16,7 +16,7 @@ NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 LEX = re.compile(r"""\s*(?:(?P<str>"(?:[^"\\]|\\.)*"|`[^`]*`)|(?P<num>-?\d+(?:\.\d+)?)|(?P<var>\$[A-Za-z0-9_]*)|(?P<field>\.[A-Za-z_][A-Za-z0-9_]*|\.)|(?P<id>[A-Za-z_][A-Za-z0-9_]*)|(?P<op>:=|=|\||\(|\)|,))""")
 URL_ATTRIBUTES = {"href", "src", "action", "formaction", "cite", "poster", "data", "background"}
 MISSING_KEY = ("default", "invalid", "zero", "error")
-FUNC_SETS = ("none", "sprig", "glazed")
+FUNC_SETS = ("none", "sprig", "extra")
 
 
 class TemplateError(ValueError):
@@ -99,14 +99,14 @@ SPRIG: dict[str, Callable] = {
     "toJson": lambda v: json.dumps(v, ensure_ascii=False, sort_keys=True, separators=(",", ":")), "add": lambda *a: sum(map(int, a)), "sub": lambda a, b: int(a) - int(b), "mul": lambda a, b: int(a) * int(b), "first": lambda v: v[0], "last": lambda v: v[-1],
     "list": lambda *a: list(a), "dict": lambda *a: dict(zip(a[::2], a[1::2], strict=True)), "keys": lambda d: sorted(d), "splitList": lambda sep, s: s.split(sep), "trunc": lambda n, s: s[:n] if n >= 0 else s[n:], "nospace": lambda s: re.sub(r"\s", "", s),
 }
-GLAZED: dict[str, Callable] = {"toYaml": lambda v: to_yaml(v).rstrip("\n"), "indentBlock": lambda n, s: "\n".join(" " * n + x for x in show(s).split("\n"))}
+EXTRA: dict[str, Callable] = {"toYaml": lambda v: to_yaml(v).rstrip("\n"), "indentBlock": lambda n, s: "\n".join(" " * n + x for x in show(s).split("\n"))}
 
 
 @dataclass(frozen=True)
 class Config:
     name: str = "template"
     mode: str = "text"
-    funcs: tuple[str, ...] = ("sprig", "glazed")
+    funcs: tuple[str, ...] = ("sprig", "extra")
     missing_key: str = "error"
     left: str = "{{"
     right: str = "}}"
@@ -130,7 +130,7 @@ class Config:
     def functions(self) -> dict[str, Callable]:
         out = dict(BUILTINS)
         for f in self.funcs:
-            out |= {"sprig": SPRIG, "glazed": GLAZED}.get(f, {})
+            out |= {"sprig": SPRIG, "extra": EXTRA}.get(f, {})
         return out | dict(self.custom)
 
 
