@@ -72,7 +72,7 @@ def anchor_blocks(docs: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in common.texts(batch, limit=8 << 20):
+            for lo, hi in common.texts(batch):
                 rows = batch.slice(lo, hi - lo)
                 data, first, inside = joined(encoded(rows.column(1)))
                 if not inside.any():
@@ -169,7 +169,7 @@ def snippets(docs: DataFrame, folder: str, buckets: int, shards: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in common.texts(batch, limit=8 << 20):
+            for lo, hi in common.texts(batch):
                 rows = batch.slice(lo, hi - lo)
                 raw = encoded(rows.column(1))
                 data, first, inside = joined(raw)
@@ -318,17 +318,19 @@ def cut_text(data: bytes, spans: np.ndarray) -> tuple[bytes, list[tuple[int, int
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
     """A row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and ``kept`` (the bytes left) if asked."""
     spark = df.sparkSession
+    common.small_batches(spark)
     docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     buckets = max(1, -(-size // (48 << 20)))
-    shards = max(1, -(-size // (20 << 20)))
+    shards = max(1, -(-size // (5 << 20)))
     doc_buckets = max(1, -(-size // (24 << 20)))
     folder = common.scratch(spark, "anchors")
     filters(anchor_blocks(docs, buckets), folder, buckets)
     parts = min(shards, 20_000)
     placed = snippets(docs, folder, buckets, shards).repartitionById(parts, F.col("shard") % parts).sortWithinPartitions("shard")
     places = common.materialize(removed(placed, doc_buckets), "removed")
-    hit = common.bloom(places.select(F.explode("docs").alias("id")), "id")
+    once = places.groupBy("bucket").agg(F.array_distinct(F.flatten(F.collect_list("docs"))).alias("docs"))  # a document is in many shards
+    hit = common.bloom(once.select(F.explode("docs").alias("id")), "id")
     schema = RESULT + (", kept binary" if with_text else "")
     names = [f.split()[0] for f in schema.split(", ")]
 
