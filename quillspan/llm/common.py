@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Kernels take so many bytes of text at a time; one longer text is taken whole.
@@ -93,6 +93,13 @@ def texts(batch: pa.RecordBatch, name: str = "text", limit: int = CHUNK_BYTES) -
         yield start, len(sizes)
 
 
+def constant(values: list, kind: str) -> Column:
+    """An array of numbers as one literal: an expression for each would keep the optimizer busy."""
+    if not values:
+        return F.array().cast(f"array<{kind}>")
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+
+
 def range_buckets(df: DataFrame, key: str, size: str | None = "text", target: int = 24 << 20, least: int = 1) -> tuple[DataFrame, list[int], int]:
     """``df`` with ``_bucket``, an int that rises with ``key``; the bounds; the number of buckets.
 
@@ -107,14 +114,14 @@ def range_buckets(df: DataFrame, key: str, size: str | None = "text", target: in
         return df.withColumn("_bucket", F.lit(0)), [], 1
     cuts = [i / n for i in range(1, n)]
     bounds = sorted(set(df.agg(F.percentile_approx(key, cuts, max(10_000, 20 * n))).first()[0] or []))
-    at = F.coalesce(F.array_size(F.filter(F.lit(bounds), lambda b: b < F.col(key))), F.lit(0)) if len(bounds) <= 64 else None
+    at = F.coalesce(F.array_size(F.filter(constant(bounds, "bigint"), lambda b: b < F.col(key))), F.lit(0)) if len(bounds) <= 64 else None
     if at is None:  # two levels, so that the search isn't linear in the number of buckets
         step = 64
         tops = bounds[step - 1 :: step]
         parts = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-        block = F.array_size(F.filter(F.lit(tops), lambda b: b < F.col(key)))
-        table = F.array(*[F.lit(p) for p in parts])
-        inside = F.array_size(F.filter(F.coalesce(F.try_element_at(table, block + 1), F.lit([]).cast("array<long>")), lambda b: b < F.col(key)))
+        block = F.array_size(F.filter(constant(tops, "bigint"), lambda b: b < F.col(key)))
+        table = F.array(*[constant(p, "bigint") for p in parts])
+        inside = F.array_size(F.filter(F.coalesce(F.try_element_at(table, block + 1), constant([], "bigint")), lambda b: b < F.col(key)))
         at = F.coalesce(block * step + inside, F.lit(0))
     return df.withColumn("_bucket", at.cast("int")), [int(b) for b in bounds], len(bounds) + 1
 

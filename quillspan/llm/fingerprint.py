@@ -96,8 +96,8 @@ def edited_fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text",
     goes = dict(zip(full, [*full[1:], full[0]], strict=True)) if full else {}
     place = F.array("_bucket")
     if full:
-        top = F.lit([tops.get(b, NULL_KEY) for b in range(n)])
-        to = F.lit([goes.get(b, -1) for b in range(n)])
+        top = common.constant([tops.get(b, NULL_KEY) for b in range(n)], "bigint")
+        to = common.constant([goes.get(b, -1) for b in range(n)], "int")
         at = F.col("_bucket") + 1
         place = F.array(F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("ctx")), F.when(F.element_at(top, at) == F.col("key"), F.struct(F.element_at(to, at).alias("b"), F.lit(1).alias("ctx"))))
         dealt = ranged.select("id", "key", "text", F.explode(F.filter(place, lambda p: p.isNotNull())).alias("p")).select("id", "key", "text", "p.b", "p.ctx")

@@ -58,12 +58,12 @@ class Classifier:
     def posteriors(self, hashes: Column) -> Column:
         """An array with the posterior of each domain."""
         k = len(self.names)
-        tables = [F.lit(row) for row in self.logs]
+        tables = [common.constant([round(x, 9) for x in row], "double") for row in self.logs]
         zero = F.array(*[F.lit(0.0)] * k)
         sums = F.aggregate(hashes, zero, lambda acc, b: F.array(*[acc[d] + tables[d][b] for d in range(k)]))
         n = F.size(hashes)
         weight = F.least(n, F.lit(SOFT)) / F.greatest(n, F.lit(1))
-        logits = F.transform(F.arrays_zip(sums.alias("s"), F.lit(self.prior).alias("p")), lambda x: x["s"] * weight + x["p"])
+        logits = F.transform(F.arrays_zip(sums.alias("s"), common.constant(self.prior, "double").alias("p")), lambda x: x["s"] * weight + x["p"])
         raised = F.transform(logits, F.exp)
         return raised, n
 
@@ -101,21 +101,20 @@ class Rates:
     def __init__(self, steps: list[list[float]], rate: float, pull: float) -> None:
         self.steps, self.rate, self.pull = steps, rate, pull
 
-    def apply(self, r: Column, p: list[Column], steps: list[list[float]]) -> Column:
-        for e in steps:
-            r = F.greatest(F.lit(0.0), r * (1 - self.rate * self.pull) + self.rate * self.pull - self.rate * sum((x * v for x, v in zip(p[1:], e[1:], strict=True)), p[0] * e[0]))
-        return r
+    def fold(self, r: Column, k: int, steps: list[list[float]]) -> Column:
+        """``r`` after the steps. They are one literal, so that the code made for a plan doesn't change with them."""
+        if not steps:
+            return r
+        table = F.transform(F.split(F.lit(";".join(",".join(map(repr, e)) for e in steps)), ";"), lambda e: F.split(e, ",").cast("array<double>"))
+        push = lambda e: sum((F.col(f"__mix_p{d}") * e[d] for d in range(1, k)), F.col("__mix_p0") * e[0])
+        return F.aggregate(table, r, lambda x, e: F.greatest(F.lit(0.0), x * (1 - self.rate * self.pull) + self.rate * self.pull - self.rate * push(e)))
 
     def column(self, k: int, df: DataFrame) -> DataFrame:
-        """``df`` (with posteriors) with its final ``_r``."""
-        p = [F.col(f"__mix_p{d}") for d in range(k)]
-        df = df.withColumn("__mix_r", F.lit(1.0))
-        for lo in range(0, len(self.steps), CHAIN):
-            df = df.withColumn("__mix_r", self.apply(F.col("__mix_r"), p, self.steps[lo : lo + CHAIN]))
-        return df.withColumn("__mix_r", F.when(F.col("__mix_n") > 0, F.col("__mix_r")).otherwise(1.0))
+        """``df`` (with posteriors) with its final ``__mix_r``."""
+        return df.withColumn("__mix_r", F.when(F.col("__mix_n") > 0, self.fold(F.lit(1.0), k, self.steps)).otherwise(1.0))
 
 
-def solve(stats: DataFrame, targets: list[float], rounds: int = ROUNDS, rate: float = RATE, pull: float = PULL) -> Rates:
+def solve(stats: DataFrame, targets: list[float], rounds: int | None = None, rate: float = RATE, pull: float = PULL) -> Rates:
     """Projected-gradient steps over ``stats`` (_n, _p0 ..), a written table.
 
     The gradient by a document's rate is its tokens times sum over domains of p * error; steps are scaled by tokens
@@ -132,8 +131,8 @@ def solve(stats: DataFrame, targets: list[float], rounds: int = ROUNDS, rate: fl
         return out
     scale = sum(targets) or 1.0
     pending: list[list[float]] = []
-    for _ in range(rounds):
-        r = out.apply(F.col("__mix_r"), p, pending)
+    for _ in range(ROUNDS if rounds is None else rounds):
+        r = out.fold(F.col("__mix_r"), k, pending)
         sums = now.select("__mix_n", *p, r.alias("__mix_r")).agg(*[F.sum(F.col("__mix_r") * F.col("__mix_n") * x) for x in p]).first()
         error = [(float(s or 0.0) - total * t / scale) / h if h > 1e-9 * total else 0.0 for s, t, h in zip(sums, targets, have, strict=True)]
         if max(map(abs, error)) < ENOUGH:
@@ -141,22 +140,21 @@ def solve(stats: DataFrame, targets: list[float], rounds: int = ROUNDS, rate: fl
         pending.append(error)
         out.steps.append(error)
         if len(pending) == CHAIN:
-            now = common.materialize(now.select("__mix_n", *p, out.apply(F.col("__mix_r"), p, pending).alias("__mix_r")), "rates")
+            now = common.materialize(now.select("__mix_n", *p, out.fold(F.col("__mix_r"), k, pending).alias("__mix_r")), "rates")
             pending = []
     return out
 
 
-def mixture(docs: DataFrame, labels: DataFrame, rules: dict[str, str] = DOMAINS, targets: dict[str, float] = TARGETS, key: str = "doc_id", text: str = "text") -> tuple[Classifier, Rates, DataFrame]:
-    """The classifier, the rates' steps, and the written table of (key, _n, _p0 ..)."""
+def mixture(docs: DataFrame, labels: DataFrame, rules: dict[str, str], targets: dict[str, float], key: str, text: str, keep: list[str]) -> tuple[Classifier, DataFrame]:
+    """The classifier, and the columns ``keep`` with tokens, posteriors and rates. Posteriors are worked out once and written."""
     model = fit(docs, labels, rules, key, text)
-    stats = common.materialize(with_posteriors(docs.select(key, text), model, text).drop(text), "posteriors")
-    return model, solve(stats, [targets[n] for n in rules]), stats
+    stats = common.materialize(with_posteriors(docs.select(*dict.fromkeys([*keep, text])), model, text).drop(*({text} - set(keep))), "posteriors")
+    return model, solve(stats, [targets[n] for n in rules]).column(len(rules), stats)
 
 
 def rates(docs: DataFrame, labels: DataFrame, rules: dict[str, str] = DOMAINS, targets: dict[str, float] = TARGETS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_tokens, a posterior ``p_<domain>`` for each domain, rate, and copies drawn by the rate."""
-    model, found, stats = mixture(docs, labels, rules, targets, key, text)
-    out = found.column(len(rules), stats)
+    model, out = mixture(docs, labels, rules, targets, key, text, [key])
     return out.select(F.col(key), F.col("__mix_n").cast("long").alias("n_tokens"), *[F.col(f"__mix_p{d}").alias(f"p_{n}") for d, n in enumerate(model.names)], F.col("__mix_r").alias("rate"), copies(F.col("__mix_r"), F.xxhash64(F.col(key))).alias("copies"))
 
 
@@ -168,7 +166,6 @@ def copies(rate: Column, seed: Column) -> Column:
 
 def mixed(docs: DataFrame, labels: DataFrame, rules: dict[str, str] = DOMAINS, targets: dict[str, float] = TARGETS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, each as often as its rate says, with the columns of ``docs``."""
-    model, found, _ = mixture(docs, labels, rules, targets, key, text)
-    out = found.column(len(rules), with_posteriors(docs, model, text))
+    _, out = mixture(docs, labels, rules, targets, key, text, docs.columns)
     n = copies(F.col("__mix_r"), F.xxhash64(F.col(key), F.col(text)))
-    return out.withColumn("__mix_c", F.explode(F.sequence(F.lit(1), F.greatest(n, F.lit(1))))).where(n >= 1).select(*docs.columns)
+    return out.withColumn("__mix_c", F.explode(F.array_repeat(F.lit(1), n))).select(*docs.columns)

@@ -7,6 +7,11 @@ import corpus_pipeline
 from quillspan.llm import mixing
 from quillspan.llm.decontaminate import Index
 
+@pytest.fixture(autouse=True)
+def few_rounds(monkeypatch):
+    monkeypatch.setattr(mixing, "ROUNDS", 14)
+
+
 RULES = {"a": "quality = 1", "b": "quality = 0"}
 
 
@@ -35,13 +40,13 @@ def test_mixture_meets_targets(spark):
     assert sum(right) >= 0.95 * len(right)
 
 
-def brute_rates(rows, targets, rounds=mixing.ROUNDS):
+def brute_rates(rows, targets):
     """The same descent by plain loops."""
     total = sum(r.n_tokens for r in rows)
     k = len(targets)
     have = [sum(r.n_tokens * r[f"p_{d}"] for r in rows) for d in targets]
     rate = [1.0] * len(rows)
-    for _ in range(rounds):
+    for _ in range(mixing.ROUNDS):
         sums = [sum(x * r.n_tokens * r[f"p_{d}"] for x, r in zip(rate, rows) if r.n_tokens) for d in targets]
         error = [(s - total * t) / h for s, t, h in zip(sums, targets.values(), have)]
         if max(map(abs, error)) < mixing.ENOUGH:
