@@ -97,7 +97,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspan.llm import common, warc
 
     path = common.scratch(spark, "warc")
-    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    warc.write_archive(table(spark, sf_dir, "pages"), path, compression="gzip")
     number = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+)$", 1).cast("long")
     return warc.read_archive(spark, path, verify="true").select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
