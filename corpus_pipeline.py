@@ -14,7 +14,7 @@ from quillspan.llm.queries import tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without letters, and those of no language with half of the words' posteriors, go."""
+    """Texts without letters, and those of no language with 0.3 of the words' posteriors, go."""
     return language.known(docs, language.fit(docs))
 
 

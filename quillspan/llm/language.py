@@ -212,7 +212,7 @@ def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     return src.mapInArrow(run, "doc_id long, lang_pred string, score double, n_words long, n_other long")
 
 
-def known(df: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
+def known(df: DataFrame, model: Model, text: str = "text", least: float = 0.3) -> DataFrame:
     """The rows of ``df`` whose text is of a known language by at least ``least`` of its words' posteriors; narrow."""
     at = df.columns.index(text)
 
