@@ -39,7 +39,7 @@ from quillspan.llm.textnum import U, mix, shingle_sets
 NUM, DEN = 80, 100
 #: Words of parities of a set's elements, by cell.
 PARITY_WORDS = 16
-FLUSH = 1_500_000
+FLUSH = 400_000
 
 
 def band_ends(largest: int, num: int = NUM, den: int = DEN) -> list[int]:
@@ -245,9 +245,10 @@ def linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return common.materialize(both.where(F.col("i") * den >= (F.size("x") + F.size("y") - F.col("i")) * num).select("u", "v"), "links")
 
 
-def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, num: int = NUM, den: int = DEN, bucket_bytes: int = 24 << 20) -> DataFrame:
+def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, num: int = NUM, den: int = DEN, bucket_bytes: int = 12 << 20) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row: the smallest id that links of similarity num / den reach."""
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    common.small_batches(df.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-int(size * 1.6) // bucket_bytes))
     parts = min(buckets, 20_000)
