@@ -238,9 +238,16 @@ def may_link(num: int, den: int):  # noqa: ANN201
 def linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Those of the pairs (u, v) that link, by their whole sets."""
     side = lambda x, y: sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{y}"), F.col("parity").alias(f"p{y}"))
-    items = lambda x, y: sets.select(F.col("doc_id").alias(x), F.col("items").alias(y))
     near = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").where(may_link(num, den)).select("u", "v")
     near = common.materialize(near, "near-pairs")
+    ids = common.bloom(near.select(F.explode(F.array("u", "v")).alias("id")), "id")
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(common.may_hold(ids, batch.column(0))))
+
+    whole = sets.select("doc_id", "items").mapInArrow(asked, "doc_id long, items array<long>")  # only sets of near pairs are shuffled
+    items = lambda x, y: whole.select(F.col("doc_id").alias(x), F.col("items").alias(y))
     both = near.join(items("u", "x"), "u").join(items("v", "y"), "v").withColumn("i", F.size(F.array_intersect("x", "y")))
     return common.materialize(both.where(F.col("i") * den >= (F.size("x") + F.size("y") - F.col("i")) * num).select("u", "v"), "links")
 
