@@ -1,9 +1,10 @@
 """Mixing sources to target weights, by DataFrame and SQL functions only.
 
 A classifier of hashed words, fitted on the labelled table, gives each document posteriors of the domains. Then
-projected-gradient least squares finds rates r >= 0 so that the expected tokens of each domain, the sum of
-r * tokens * posterior, match their targets, with a small pull of r to 1. A step needs only the domains' current
-totals, one aggregation over the table of posteriors, so the driver sees as many numbers as there are domains.
+least squares finds the rates r >= 0 nearest to 1 so that the expected tokens of each domain, the sum of
+r * tokens * posterior, match their targets. Such a rate depends on the posteriors and one multiplier a domain, found by
+Newton's method. A step is one aggregation over the table of posteriors, so the driver sees a number for each pair of
+domains. Where no rates meet the targets, the least error is kept and logged.
 
 The classifier is fitted on at most ``TRAIN_ROWS`` labelled documents (the first by a hash of the id); its counts of
 ``BUCKETS`` word hashes are what the driver gathers. All statistics of the mixture cover all documents.
@@ -15,8 +16,10 @@ get equal rates, and are drawn by their row's hash; a null id is kept; other col
 
 from __future__ import annotations
 
+import logging
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +28,11 @@ from quillspan.llm import common
 TRAIN_ROWS, BUCKETS = 6000, 4096
 #: Words that a text's posterior counts as at most, so that long texts stay soft.
 SOFT = 24
+#: Steps until a warning, length of a step at first, pull of the rates to 1 at first, error of a domain that will do.
 ROUNDS, RATE, PULL, ENOUGH = 40, 1.0, 1e-3, 1e-5
-#: Steps between two writings of the rates.
-CHAIN = 10
+#: The pull at last, by that at first.
+WEAKEST = 1e-4
+LOG = logging.getLogger(__name__)
 
 #: Domains of the labelled table, and the shares of tokens that the mixture should have.
 DOMAINS = {"good": "toxic = 0 and quality = 1", "plain": "toxic = 0 and quality = 0", "toxic": "toxic = 1"}
@@ -96,60 +101,87 @@ def with_posteriors(df: DataFrame, model: Classifier, text: str = "text") -> Dat
 
 
 class Rates:
-    """The steps taken: a rate is a fold over them of a document's own posteriors."""
+    """Multipliers of the domains: a document's rate is max(0, 1 - its posteriors times them). ``error``: by domain, what its share misses the target by."""
 
-    def __init__(self, steps: list[list[float]], rate: float, pull: float) -> None:
-        self.steps, self.rate, self.pull = steps, rate, pull
+    def __init__(self, u: list[float], error: list[float] | None = None) -> None:
+        self.u, self.error = u, error or [0.0] * len(u)
 
-    def fold(self, r: Column, k: int, steps: list[list[float]]) -> Column:
-        """``r`` after the steps. They are one literal, so that the code made for a plan doesn't change with them."""
-        if not steps:
-            return r
-        table = F.transform(F.split(F.lit(";".join(",".join(map(repr, e)) for e in steps)), ";"), lambda e: F.split(e, ",").cast("array<double>"))
-        push = lambda e: sum((F.col(f"__mix_p{d}") * e[d] for d in range(1, k)), F.col("__mix_p0") * e[0])
-        return F.aggregate(table, r, lambda x, e: F.greatest(F.lit(0.0), x * (1 - self.rate * self.pull) + self.rate * self.pull - self.rate * push(e)))
+    def rate(self) -> Column:
+        """The multipliers are one literal, so that the code made for a plan doesn't change with them."""
+        u = common.constant(self.u, "double")
+        return F.greatest(F.lit(0.0), 1.0 - sum((F.col(f"__mix_p{d}") * u[d] for d in range(1, len(self.u))), F.col("__mix_p0") * u[0]))
 
-    def column(self, k: int, df: DataFrame) -> DataFrame:
+    def column(self, df: DataFrame) -> DataFrame:
         """``df`` (with posteriors) with its final ``__mix_r``."""
-        return df.withColumn("__mix_r", F.when(F.col("__mix_n") > 0, self.fold(F.lit(1.0), k, self.steps)).otherwise(1.0))
+        return df.withColumn("__mix_r", F.when(F.col("__mix_n") > 0, self.rate()).otherwise(1.0))
 
 
 def solve(stats: DataFrame, targets: list[float], rounds: int | None = None, rate: float = RATE, pull: float = PULL) -> Rates:
-    """Projected-gradient steps over ``stats`` (_n, _p0 ..), a written table.
+    """The rates nearest to 1 that meet the targets, over ``stats`` (_n, _p0 ..), a written table.
 
-    The gradient by a document's rate is its tokens times sum over domains of p * error; steps are scaled by tokens
-    and, by domain, by the share of tokens at hand, so that small domains move as fast as large ones.
+    Of the squares of r - 1 and of the domains' errors over ``pull`` (by the domains' tokens, so that small ones count as
+    much as large ones), the least sum is where r = max(0, 1 - p u) and pull * u is the error: damped Newton on u, an
+    aggregation a round. Its target is then moved on by the error left and the pull weakened, until no error is above ``ENOUGH``
+    or, as no rates meet the targets, the errors stay; the log tells both. More than ``rounds`` are told and go on.
     """
     k = len(targets)
     p = [F.col(f"__mix_p{d}") for d in range(k)]
-    out = Rates([], rate, pull)
-    now = stats.where("__mix_n > 0").select("__mix_n", *p, F.lit(1.0).alias("__mix_r"))
-    first = stats.agg(*[F.sum(F.col("__mix_n") * x) for x in p]).first()
-    have = [float(x or 0.0) for x in first]
-    total = sum(have)
+    now = stats.where("__mix_n > 0")
+    have = np.array([float(x or 0.0) for x in now.agg(*[F.sum(F.col("__mix_n") * x) for x in p]).first()])
+    total = float(have.sum())
     if not total:
-        return out
-    scale = sum(targets) or 1.0
-    pending: list[list[float]] = []
-    for _ in range(ROUNDS if rounds is None else rounds):
-        r = out.fold(F.col("__mix_r"), k, pending)
-        sums = now.select("__mix_n", *p, r.alias("__mix_r")).agg(*[F.sum(F.col("__mix_r") * F.col("__mix_n") * x) for x in p]).first()
-        error = [(float(s or 0.0) - total * t / scale) / h if h > 1e-9 * total else 0.0 for s, t, h in zip(sums, targets, have, strict=True)]
-        if max(map(abs, error)) < ENOUGH:
+        return Rates([0.0] * k)
+    goal = total * np.array(targets, float) / (sum(targets) or 1.0)
+    on = np.flatnonzero(have > 1e-9 * total)  # a domain without tokens has no multiplier
+    pairs = [(int(d), int(e)) for i, d in enumerate(on) for e in on[: i + 1]]
+
+    def at(u: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Half the sum of n r r, the domains' totals, and the sums of n p p' where r > 0."""
+        r, n = F.col("__mix_r"), F.col("__mix_n")
+        held = F.when(r > 0, n).otherwise(0)
+        row = now.select("__mix_n", *p, Rates(u.tolist()).rate().alias("__mix_r")).agg(F.sum(n * r * r), *[F.sum(n * r * x) for x in p], *[F.sum(held * p[d] * p[e]) for d, e in pairs]).first()
+        bends = np.zeros((k, k))
+        for (d, e), x in zip(pairs, row[1 + k :], strict=True):
+            bends[d, e] = bends[e, d] = x
+        return row[0] / 2, np.array(row[1 : 1 + k]), bends
+
+    limit = told = ROUNDS if rounds is None else rounds
+    least, done, before = pull * WEAKEST, 0, math.inf
+    u = about = np.zeros(k)
+    half, sums, bends = at(u)
+    error = (sums - goal)[on] / have[on]
+    while np.abs(error).max() >= ENOUGH:
+        value = lambda half, u: half + goal @ u + pull * (have @ (u - about) ** 2) / 2  # noqa: E731, B023
+        slope = pull * (u - about)[on] - error
+        while np.abs(slope).max() >= ENOUGH / 10 and np.abs(error).max() >= ENOUGH:
+            step = np.zeros(k)
+            step[on] = -np.linalg.solve(bends[np.ix_(on, on)] + pull * np.diag(have[on]), slope * have[on])
+            length, fall = rate, float(slope * have[on] @ step[on])
+            while (got := at(u + length * step)) and value(got[0], u + length * step) > value(half, u) + 1e-4 * length * fall and length > 1e-9:
+                length /= 2
+            if length <= 1e-9:  # as near as the sums' digits go
+                break
+            u, (half, sums, bends) = u + length * step, got
+            error = (sums - goal)[on] / have[on]
+            slope = pull * (u - about)[on] - error
+            done += 1
+            if done == told:
+                LOG.warning("mixing: %d rounds, largest error %.2g of a domain's tokens; going on", done, np.abs(error).max())
+                told += limit
+        left = float(have[on] @ error**2)
+        if left > 0.998 * before:
             break
-        pending.append(error)
-        out.steps.append(error)
-        if len(pending) == CHAIN:
-            now = common.materialize(now.select("__mix_n", *p, out.fold(F.col("__mix_r"), k, pending).alias("__mix_r")), "rates")
-            pending = []
-    return out
+        before, about, pull = left, u, max(pull / 10, least)
+    missed = (sums - goal) / total
+    LOG.log(logging.WARNING if np.abs(missed).max() > ENOUGH else logging.INFO, "mixing: %d rounds, shares of tokens %s, less targets %s", done, (sums / total).tolist(), missed.tolist())
+    return Rates(u.tolist(), missed.tolist())
 
 
 def mixture(docs: DataFrame, labels: DataFrame, rules: dict[str, str], targets: dict[str, float], key: str, text: str, keep: list[str]) -> tuple[Classifier, DataFrame]:
     """The classifier, and the columns ``keep`` with tokens, posteriors and rates. Posteriors are worked out once and written."""
     model = fit(docs, labels, rules, key, text)
     stats = common.materialize(with_posteriors(docs.select(*dict.fromkeys([*keep, text])), model, text).drop(*({text} - set(keep))), "posteriors")
-    return model, solve(stats, [targets[n] for n in rules]).column(len(rules), stats)
+    return model, solve(stats, [targets[n] for n in rules]).column(stats)
 
 
 def rates(docs: DataFrame, labels: DataFrame, rules: dict[str, str] = DOMAINS, targets: dict[str, float] = TARGETS, key: str = "doc_id", text: str = "text") -> DataFrame:
