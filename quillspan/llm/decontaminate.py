@@ -5,11 +5,15 @@ most e edits shares at least WINDOW + 1 - q - q * e of its q-grams with it, on d
 place in the item) within e of each other. So shared q-grams are counted in overlapping diagonal bands of width 2e;
 bands that meet the bound are verified by banded alignment. A text that holds a window is contaminated.
 
+A text may quote a part only. So an item's excerpts are looked for too, from every word on: ``WORDS`` words, or
+the first ``LONGEST`` bytes of them, with proportionally fewer edits. They tell texts and items of which no window is found.
+
 Texts and items are compared lower-cased, with each run of white space as one space. The items' index is sent to the
 tasks in blocks of at most ``BLOCK_BYTES``; more items mean more passes, so what is sent never grows beyond it.
 
 Edge cases: null and empty texts hold nothing; null and empty items, and items under q bytes, match nothing; an item shorter
-than a window is one window with proportionally fewer edits; repeated items are told each; repeated rows are judged
+than a window is one window with proportionally fewer edits; a word longer than ``LONGEST`` / 4 bytes, as where no spaces are
+written, has excerpts from every such piece of it; excerpts under ``SHORTEST`` bytes are lengthened to that; repeated items are told each; repeated rows are judged
 each by itself; an empty benchmark leaves all rows; a text is searched whole, however long.
 """
 
@@ -27,7 +31,11 @@ from quillspan.llm import common
 from quillspan.llm.textnum import U
 
 Q, WINDOW, EDITS = 8, 128, 12
+#: An excerpt's words, and its bytes at most and at least.
+WORDS, LONGEST, SHORTEST = 13, 80, 48
 BLOCK_BYTES = 8 << 20
+#: Candidates aligned at a time.
+ALIGNED = 2048
 #: Bits of the table that tells most places without a q-gram at once.
 TABLE = 22
 _SPACE = re.compile(r"\s+")
@@ -49,46 +57,77 @@ def grams(data: bytes) -> np.ndarray:
     return out
 
 
-def banded(pattern: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int]:
-    """(least edits of the pattern with a piece of the text, its end); edits beyond ``most`` are told as most + 1.
+def banded(patterns: list[bytes], texts: list[bytes], most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(least edits of each pattern with a piece of its text, the piece's end); edits beyond ``most`` are told as most + 1.
 
-    Row by row of the pattern, over the text's cells, which are those of the band and its margins.
+    Row by row of the patterns, over the texts' cells, which are those of the band and its margins.
     """
-    n = len(text)
-    row = np.zeros(n + 1, np.int32)
-    ramp = np.arange(n + 1, dtype=np.int32)
-    for i, c in enumerate(pattern.tolist()):
-        new = np.empty(n + 1, np.int32)
-        new[0] = i + 1
-        np.minimum(row[:-1] + (text != c), row[1:] + 1, out=new[1:])
-        row = np.minimum.accumulate(new - ramp) + ramp
-        if row.min() > most:
-            return most + 1, 0
-    end = int(row.argmin())
-    return min(int(row[end]), most + 1), end
+    sizes, n = np.fromiter(map(len, patterns), np.int64, len(patterns)), max(map(len, texts))
+    p = np.stack([np.frombuffer(x.ljust(int(sizes.max()), b"\0"), np.uint8) for x in patterns]).astype(np.int16)
+    t = np.full((len(texts), n), -1, np.int16)
+    for i, x in enumerate(texts):
+        t[i, : len(x)] = np.frombuffer(x, np.uint8)
+    edits, ends = most + 1, np.zeros(len(texts), np.int64)
+    at, row, ramp = np.arange(len(texts)), np.zeros((len(texts), n + 1), np.int16), np.arange(n + 1, dtype=np.int16)
+    for i in range(p.shape[1]):
+        new = np.empty_like(row)
+        new[:, 0] = i + 1
+        np.minimum(row[:, :-1] + (t != p[:, i, None]), row[:, 1:] + 1, out=new[:, 1:])
+        row = np.minimum.accumulate(new - ramp, axis=1) + ramp
+        least, last = row.min(1), sizes[at] == i + 1
+        got = last & (least <= most[at])
+        edits[at[got]], ends[at[got]] = least[got], row[got].argmin(1)
+        on = ~last & (least <= most[at])
+        if not on.all():
+            at, row, t, p = at[on], row[on], t[on], p[on]
+        if not len(at):
+            break
+    return edits, ends
+
+
+def scaled(size: int) -> tuple[int, int]:
+    """(edits, least q-grams shared) of a window of so many bytes."""
+    edits = EDITS * size // WINDOW
+    while edits and size + 1 - Q - Q * edits < 1:
+        edits -= 1
+    return edits, size + 1 - Q - Q * edits
+
+
+def excerpts(b: bytes) -> list[tuple[int, int]]:
+    """(start, size) of the excerpts of an item, both ends rising."""
+    words = [m.span() for m in re.finditer(rb"[^ ]+", b)]
+    ends = [e for _, e in words]
+    out = []
+    for i, (first, end) in enumerate(words):
+        for s in range(first, end, LONGEST // 4):
+            to = ends[i + WORDS - 1] if i + WORDS <= len(words) else len(b) if len(b) - s >= LONGEST else 0
+            if to and s + SHORTEST <= len(b):
+                out.append((s, max(min(to - s, LONGEST), SHORTEST)))
+    return out
 
 
 class Index:
-    """q-grams of a block of benchmark items."""
+    """q-grams of a block of benchmark items, their windows and, with ``parts``, their excerpts."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int, str]], parts: bool = False) -> None:
         self.items = [(k, normal(t).encode("utf-8", "surrogatepass")) for k, t in items if t]
         self.items = [(k, b) for k, b in self.items if len(b) >= Q]
         base, at = [], 0
         windows: list[tuple[int, int, int, int, int]] = []  # item, start, size, edits, bound
+        pieces: list[tuple[int, int, int, int, int]] = []
         first_window = []
         for i, (_, b) in enumerate(self.items):
             base.append(at)
             first_window.append(len(windows))
             size = min(WINDOW, len(b))
             starts = sorted({*range(0, len(b) - size + 1, max(1, size // 2)), len(b) - size})
-            edits = EDITS * size // WINDOW
-            while edits and size + 1 - Q - Q * edits < 1:
-                edits -= 1
-            windows += [(i, s, size, edits, size + 1 - Q - Q * edits) for s in starts]
+            windows += [(i, s, size, *scaled(size)) for s in starts]
+            if parts:
+                pieces += [(i, s, n, *scaled(n)) for s, n in excerpts(b)]
             at += len(b) + Q
         self.base = np.array([*base, at], np.int64)
         self.windows = np.array(windows, np.int64).reshape(-1, 5)
+        self.pieces = np.array(pieces, np.int64).reshape(-1, 5)
         self.first_window = np.array([*first_window, len(windows)], np.int64)
         joined = b"".join(b + b"\0" * Q for _, b in self.items)
         g = grams(joined)
@@ -102,15 +141,15 @@ class Index:
         self.cut = np.append(first, len(place))
         self.table = np.zeros(1 << TABLE, bool)
         self.table[self.slot(self.gram)] = True
-        self.bound = int(self.windows[:, 4].min()) if len(windows) else 0
-        self.span = WINDOW + EDITS - Q
+        #: Least q-grams shared by what matches, and over how many places of the text: by windows, by excerpts.
+        self.dense = [(int(w[:, 4].min()), int((w[:, 2] + w[:, 3]).max()) - Q) for w in (self.windows, self.pieces) if len(w)]
 
     @staticmethod
     def slot(g: np.ndarray) -> np.ndarray:
         return (g * U(0x9E3779B97F4A7C15)) >> U(64 - TABLE)
 
-    def search(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
-        """(text, item, start, end, edits) of each window found; start and end are bytes of the normalised text."""
+    def search(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int, int]]:
+        """(text, item, start, end, edits, 1 or for an excerpt 0) of each window found, and of each excerpt if no window is; start and end are bytes of the normalised text."""
         if not len(self.gram):
             return
         plain = [normal(t).encode("utf-8", "surrogatepass") for t in texts]
@@ -121,11 +160,12 @@ class Index:
         ok = self.gram[to] == g[at]
         at, to = at[ok], to[ok]
         # Places from which too few q-grams of the benchmark follow can't begin a window.
-        many = np.searchsorted(at, at + self.span, "right") - np.arange(len(at))
-        dense = np.flatnonzero(many >= self.bound)
         mark = np.zeros(len(at) + 1, np.int64)
-        np.add.at(mark, dense, 1)
-        np.add.at(mark, dense + many[dense], -1)
+        for bound, span in self.dense:
+            many = np.searchsorted(at, at + span, "right") - np.arange(len(at))
+            dense = np.flatnonzero(many >= bound)
+            np.add.at(mark, dense, 1)
+            np.add.at(mark, dense + many[dense], -1)
         keep = np.cumsum(mark[:-1]) > 0
         at, to = at[keep], to[keep]
         n = self.cut[to + 1] - self.cut[to]
@@ -136,52 +176,77 @@ class Index:
         here = np.repeat(at, n)
         sizes = np.fromiter(map(len, plain), np.int64, len(plain)) + Q
         stops = np.cumsum(sizes)
+        begin = stops - sizes
         text = np.searchsorted(stops, here, "right")
         item = np.searchsorted(self.base, there, "right") - 1
-        inside = there - self.base[item]
-        # All windows that hold the q-gram: at most three (the last may lie between two others).
-        hits = []
-        for w in range(3):
-            step = np.maximum(1, self.windows[self.first_window[item], 2] // 2)
-            k = self.first_window[item] + (inside // step - w if w < 2 else self.first_window[item + 1] - self.first_window[item] - 1)
-            ok = (k >= self.first_window[item]) & (k < self.first_window[item + 1])
-            k = np.where(ok, k, 0)
-            ok &= (self.windows[k, 1] <= inside) & (inside + Q <= self.windows[k, 1] + self.windows[k, 2])
-            width = np.maximum(1, self.windows[k, 3])
-            band = (here - inside) // width + (1 << 40)
-            for b in (0, 1):  # bands of two widths that overlap by one
-                hits.append(np.stack([text[ok], k[ok], (band - b)[ok]], 1))
-        hits = np.concatenate(hits)
-        order = np.lexsort((hits[:, 2], hits[:, 1], hits[:, 0]))
-        hits = hits[order]
-        first = np.flatnonzero(np.concatenate(([True], (hits[1:] != hits[:-1]).any(1))))
+        # Nor can a text and an item match whose q-grams are too few in every band of the widest.
+        pair = text * len(self.items) + item
+        width = max(1, int(max(w[:, 3].max() for w in (self.windows, self.pieces) if len(w))))
+        key = (pair << 30) + (here - there + int(self.base[-1])) // width
+        keys, of, count = np.unique(key, return_inverse=True, return_counts=True)
+        near = np.append(keys[1:] == keys[:-1] + 1, False)
+        after = np.where(near, np.append(count[1:], 0), 0)
+        before = np.append(0, np.where(near[:-1], count[:-1], 0))
+        keep = (count + np.maximum(after, before))[of] >= min(b for b, _ in self.dense)
+        here, there, text, pair = here[keep], there[keep], text[keep], pair[keep]
+        done: set[int] = set()
+        for windows, whole in ((self.windows, 1), (self.pieces, 0)):
+            if not whole and len(done):  # what windows have told
+                keep = ~np.isin(pair, np.fromiter(done, np.int64, len(done)))
+                here, there, text, pair = here[keep], there[keep], text[keep], pair[keep]
+            if not len(windows) or not len(here):
+                continue
+            for t, i, s, e, edits in self.verified(windows, self.candidates(windows, here, there, text), plain, begin):
+                done.add(t * len(self.items) + i)
+                yield t, i, s, e, edits, whole
+
+    def candidates(self, windows: np.ndarray, here: np.ndarray, there: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """(text, window, band) that share enough q-grams."""
+        start = self.base[windows[:, 0]] + windows[:, 1]
+        low = np.searchsorted(start + windows[:, 2] - Q, there, "left")  # windows' starts and ends rise
+        n = np.searchsorted(start, there, "right") - low
+        total = np.cumsum(n)
+        k = np.arange(int(total[-1])) + np.repeat(low - (total - n), n)
+        diagonal = np.repeat(here - there, n) + self.base[windows[k, 0]]
+        band = diagonal // np.maximum(1, windows[k, 3]) + (1 << 40)
+        hits = np.concatenate([np.stack([np.repeat(text, n), k, band - b], 1) for b in (0, 1)])  # bands of two widths that overlap by one
+        hits = hits[np.lexsort((hits[:, 2], hits[:, 1], hits[:, 0]))]
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(hits)), bool), (hits[1:] != hits[:-1]).any(1))))
         count = np.diff(np.append(first, len(hits)))
-        hits = hits[first][count >= self.windows[hits[first][:, 1], 4]]
+        return hits[first][count >= windows[hits[first][:, 1], 4]]
+
+    def verified(self, windows: np.ndarray, hits: np.ndarray, plain: list[bytes], begin: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """(text, item, start, end, edits) of the candidates that align."""
         done: set[tuple[int, int]] = set()
-        begin = stops - sizes
-        for t, k, b in hits.tolist():
-            if (t, k) in done:
-                continue
-            i, s, size, edits, _ = self.windows[k].tolist()
-            width = max(1, edits)
-            low = (b - (1 << 40)) * width + s - int(begin[t]) - edits
-            lo, hi = max(0, low), min(len(plain[t]), low + 2 * width + size + 2 * edits)
-            region, pattern = plain[t][lo:hi], self.items[i][1][s : s + size]
-            if (x := region.find(pattern)) >= 0:
-                done.add((t, k))
-                yield t, i, lo + x, lo + x + size, 0
-                continue
-            found, end = banded(np.frombuffer(pattern, np.uint8), np.frombuffer(region, np.uint8), edits)
-            if found <= edits:
-                done.add((t, k))
-                yield t, i, max(0, lo + end - size), lo + end, found
+        for part in (hits[x : x + ALIGNED] for x in range(0, len(hits), ALIGNED)):
+            told: dict[int, tuple[int, int, int, int, int]] = {}  # by the candidate's number, as the first in order counts
+            exact, rest = set(), []
+            for x, (t, k, b) in enumerate(part.tolist()):
+                if (t, k) in done or (t, k) in exact:
+                    continue
+                i, s, size, edits, _ = windows[k].tolist()
+                low = (b - (1 << 40)) * max(1, edits) + s - int(begin[t]) - edits
+                lo, hi = max(0, low), min(len(plain[t]), low + 2 * max(1, edits) + size + 2 * edits)
+                region, pattern = plain[t][lo:hi], self.items[i][1][s : s + size]
+                if (y := region.find(pattern)) >= 0:
+                    exact.add((t, k))
+                    told[x] = (t, i, lo + y, lo + y + size, 0)
+                else:
+                    rest.append((x, t, i, lo, size, edits, pattern, region))
+            if rest:
+                found, ends = banded([r[6] for r in rest], [r[7] for r in rest], np.array([r[5] for r in rest]))
+                told |= {x: (t, i, max(0, lo + end - size), lo + end, n) for (x, t, i, lo, size, edits, _, _), n, end in zip(rest, found.tolist(), ends.tolist(), strict=True) if n <= edits}
+            for x in sorted(told):
+                if (key := tuple(part[x, :2].tolist())) not in done:
+                    done.add(key)
+                    yield told[x]
 
     def found(self, texts: list[str]) -> dict[tuple[int, int], list[int]]:
-        """(text, item) -> [start, end, edits of the best window, windows found]."""
+        """(text, item) -> [start, end, edits of the best window or excerpt, windows found (0: excerpts only)]."""
         out: dict[tuple[int, int], list[int]] = {}
-        for t, i, s, e, edits in self.search(texts):
+        for t, i, s, e, edits, whole in self.search(texts):
             r = out.setdefault((t, i), [s, e, edits, 0])
-            r[0], r[1], r[2], r[3] = min(r[0], s), max(r[1], e), min(r[2], edits), r[3] + 1
+            r[0], r[1], r[2], r[3] = min(r[0], s), max(r[1], e), min(r[2], edits), r[3] + whole
         return out
 
 
@@ -192,11 +257,11 @@ def blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text", most:
     n = max(1, -(-int(size) // most))
     for b in range(n):
         part = src if n == 1 else src.where(F.pmod(F.xxhash64("t"), F.lit(n)) == b)
-        yield Index(sorted(((r.k, r.t) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
+        yield Index(sorted(((r.k, r.t) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1])), parts=True)
 
 
 def hits(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each contaminated text and item: doc_id, item_id, start, end (bytes of the normalised text), edits, n_windows, share of the item's windows."""
+    """A row for each contaminated text and item: doc_id, item_id, start, end (bytes of the normalised text), edits, n_windows, share of the item's windows (0 and 0 where only excerpts are found)."""
     src = df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(index: Index):  # noqa: ANN202
@@ -220,7 +285,7 @@ def hits(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "
 
 
 def without(df: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``df`` whose text holds no window of the benchmark, with all their columns; narrow."""
+    """The rows of ``df`` whose text holds no window or excerpt of the benchmark, with all their columns; narrow."""
 
     def run(index: Index, at: int):  # noqa: ANN202
         def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

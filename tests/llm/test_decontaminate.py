@@ -73,3 +73,45 @@ def test_tables(spark):
     assert len(list(dc.blocks(bench, most=300))) > 1
     assert sorted(r.doc_id for r in dc.without(docs, bench).collect()) == [1, 2, 3]
     assert dc.without(docs, bench.limit(0)).count() == 7 and dc.hits(docs.limit(0), bench).count() == 0 and old == dc.BLOCK_BYTES
+
+
+def production_like(seed):
+    rng = random.Random(seed)
+    return rng, [(i, words(rng, 60)) for i in range(20)]
+
+
+@pytest.mark.parametrize("n", [13, 16, 20, 30])
+def test_excerpts_at_any_offset(spark, n):
+    rng, items = production_like(n)
+    rows, want = [], set()
+    for d in range(60):
+        k, x = items[d % 20]
+        s = rng.randint(0, 60 - n)
+        rows.append((d, f"{words(rng, 30)} {' '.join(x.split()[s : s + n]).upper()}\n{words(rng, 30)}"))
+        want.add((d, k))
+    rows += [(100 + d, words(rng, 90)) for d in range(20)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in dc.hits(docs, bench).collect()} == want
+    assert {r.doc_id for r in dc.without(docs, bench).collect()} == set(range(100, 120))
+
+
+def test_excerpts_match_brute_force():
+    """Texts with edited excerpts, against all excerpts by plain alignment."""
+    rng, items = production_like(1)
+    items = [*items[:6], (90, "x" * 300), (91, " ".join("ab" for _ in range(40)))]
+    texts = ["", items[0][1], words(rng, 40), "x" * 100, "ab " * 20]
+    for n in range(24):
+        x = items[n % 6][1].split()
+        s = rng.randint(0, 60 - 13)
+        texts.append(f"{words(rng, 6)} {edited(rng, ' '.join(x[s : s + 13]), n // 3)} {words(rng, 6)}")
+    index = dc.Index(items, parts=True)
+    want = {(t, i) for t, text in enumerate(texts) for i, (_, b) in enumerate(index.items) if any(least_edits(b[s : s + n], dc.normal(text).encode()) <= dc.scaled(n)[0] for s, n in dc.excerpts(b)) or index.items[i][0] in brute(items, text)}
+    assert set(index.found(texts)) == want and len(want) > 20
+
+
+def test_excerpts_have_their_sizes():
+    for b in (b"", b"abc", b" ".join([b"a"] * 12), b" ".join([b"a"] * 60), b"x" * 300, " ".join(["wörter"] * 40).encode()):
+        got = dc.excerpts(b)
+        assert all(dc.SHORTEST <= n <= dc.LONGEST and s + n <= len(b) for s, n in got)
+        assert got == sorted(got) and [s + n for s, n in got] == sorted(s + n for s, n in got)
+    assert dc.excerpts(b"x" * 300)[:2] == [(0, 80), (20, 80)] and len(dc.excerpts(b" ".join([b"a"] * 60))) > 20
