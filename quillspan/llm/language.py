@@ -6,7 +6,7 @@ transitions they label each word of a line by forward-backward; a text's languag
 largest sum of its words' posteriors, so that text in several languages is split word by word.
 
 Training takes at most ``TRAIN_DOCS`` labelled documents (the first by a hash of the id) and ``TRAIN_WORDS`` words of
-each; all words of a training text carry its label. Chains are lines, cut every ``CHAIN`` words.
+each, in lines drawn by a hash from the whole text; all words of a training text carry its label. Chains are lines, cut every ``CHAIN`` words.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; ties go to the first language in
 order of name; with no labelled rows at all every text is ``und``; a null id is not held out; other columns are ignored.
@@ -14,6 +14,7 @@ order of name; with no labelled rows at all every text is ``und``; a null id is
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -137,6 +138,21 @@ class Model:
         return out
 
 
+def drawn(c: Chains, most: int = TRAIN_WORDS) -> str:
+    """Lines of one text of at most ``most`` words together, by a hash of their content and place, in their order in the text."""
+    if len(c.starts) <= most:
+        return c.joined
+    spans = [(int(a), int(a + n)) for a, n in zip(c.first, c.size, strict=True)]
+    text = lambda a, b: c.joined[int(c.starts[a]) : int(c.ends[b - 1])]
+    out, left = [], most
+    for a, b in sorted(spans, key=lambda x: (zlib.crc32(f"{x[0]} {text(*x)}".encode("utf-8", "surrogatepass")), x)):
+        out.append((a, min(b, a + left)))
+        left -= out[-1][1] - a
+        if not left:
+            break
+    return "\n".join(text(a, b) for a, b in sorted(out))
+
+
 def train(rows: list[tuple[str, str]], rounds: int = 30, rate: float = 0.3, ridge: float = 1e-4) -> Model:
     """Fit by AdaGrad on the whole batch: expected less observed counts of features and transitions."""
     langs = sorted({y for _, y in rows})
@@ -145,7 +161,7 @@ def train(rows: list[tuple[str, str]], rounds: int = 30, rate: float = 0.3, ridg
     for text, y in rows:
         c = Chains([(text or "").lower()])
         if len(c.starts):
-            cut.append((c.joined[: int(c.ends[min(len(c.ends), TRAIN_WORDS) - 1])], code[y]))
+            cut.append((drawn(c), code[y]))
     if not cut or len(langs) < 1:
         return Model([], {}, np.zeros((0, 0)), {}, np.zeros((0, 0)))
     c = Chains([t for t, _ in cut])

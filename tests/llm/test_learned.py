@@ -116,3 +116,17 @@ def test_toxicity_table(spark):
     assert [r.predicted for r in out if r.doc_id == 900] == [0, 0]
     none = toxicity.fit(docs, labels.limit(0))
     assert {r.score for r in toxicity.score_texts(docs, none).collect()} != set() and toxicity.score_texts(docs.limit(0), none).count() == 0
+
+
+def test_training_draws_from_whole_texts():
+    """What only late lines hold is learned."""
+    rng = random.Random(7)
+    late = {"aa": "zorgu", "bb": "plimf"}
+    rows = [("\n".join([*(sentence(rng, "cc") for _ in range(40)), *(f"{late[y]} " * 12 for _ in range(40))]), y) for y in ("aa", "bb") for _ in range(12)]
+    model = language.train(rows)
+    assert [g[0] for g in model.predict(["zorgu zorgu zorgu", "plimf plimf plimf"])] == ["aa", "bb"]
+    for text in (rows[0][0], "one line of words " * 2000, "a\n" * 1000):
+        c = language.Chains([text])
+        got = language.Chains([language.drawn(c)])
+        assert len(got.starts) == language.TRAIN_WORDS and got.joined == language.drawn(c)
+    assert language.drawn(language.Chains(["two words\nmore"])) == language.Chains(["two words\nmore"]).joined
