@@ -38,14 +38,28 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set(name, rows)
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again: cuts lineage and survives lost executors."""
+def materialize(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder (a folder for each value of ``by``) and read it again: cuts lineage and survives lost executors.
+
+    What an operator has written for itself it gives to :func:`discard` once nothing reads it any more.
+    """
     spark = df.sparkSession
     path = scratch(spark, tag)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     gc.collect()  # shuffle files of what is now written go when the driver's objects do
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(spark: SparkSession, *written: DataFrame | str | None) -> None:
+    """Delete written tables (results of :func:`materialize`) or folders of the shared folder, which nothing may read any more."""
+    for x in written:
+        path = x if isinstance(x, str) or x is None else getattr(x, "scratch_path", None)
+        if path:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def filesystem(uri: str):
@@ -100,16 +114,20 @@ def constant(values: list, kind: str) -> Column:
     return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
 
 
+#: Ranges at most: their bounds are literals of the plan. Tasks stream through larger ranges, sorted by Spark with spilling.
+MOST_RANGES = 20_000
+
+
 def range_buckets(df: DataFrame, key: str, size: str | None = "text", target: int = 24 << 20, least: int = 1) -> tuple[DataFrame, list[int], int]:
     """``df`` with ``_bucket``, an int that rises with ``key``; the bounds; the number of buckets.
 
     Bounds are approximate quantiles of the key (only the key and the text's length are read),
-    so buckets hold about ``target`` bytes. Equal keys share a bucket; null keys go to bucket 0.
+    so buckets hold about ``target`` bytes, or more where ``MOST_RANGES`` would hold less than all. Equal keys share a bucket; null keys go to bucket 0.
     """
     length = F.sum(F.octet_length(size)) if size else F.count("*") * 64
     total, count = df.agg(length, F.count("*")).first()
     n = max(least, -(-int(total or 0) // target))
-    n = min(n, max(1, int(count or 0)))
+    n = min(n, MOST_RANGES, max(1, int(count or 0)))
     if n == 1:
         return df.withColumn("_bucket", F.lit(0)), [], 1
     cuts = [i / n for i in range(1, n)]
@@ -133,7 +151,7 @@ def by_hash(df: DataFrame, key: str, n: int, count: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, n / count)))
 
 
-#: Bits of a Bloom filter at least and at most; beyond that it lets more pass, and is never wrong about a member.
+#: Bits of a Bloom filter at least and at most (16 MB). It is never wrong about a member; beyond about 11 million ids it lets more and more others pass, so that more rows than needed are shuffled.
 BLOOM_BITS = (1 << 16, 1 << 27)
 
 

@@ -1,8 +1,9 @@
 """Vectorised hashing of words and word shingles over many texts at once (numpy, no loop over words).
 
-A word's hash is a polynomial in its bytes modulo 2**64, taken from one running sum over the
-whole chunk, then mixed. Two different words or shingles share a 64-bit hash with a chance of
-about 2**-64; the operators treat equal hashes as equal words.
+A word's hash is the sum, modulo 2**64, of a pseudo-random number for each (place in the word, letter), taken from one
+running sum over the whole chunk, then mixed with its length. The numbers have no structure that words could exploit (as a polynomial
+modulo 2**64 has), so two different words or shingles share a hash with a chance of about 2**-64; where that must not
+be trusted, :func:`same_spans` compares the words themselves.
 """
 
 from __future__ import annotations
@@ -11,27 +12,6 @@ import numpy as np
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
-BASE_INV = pow(BASE, -1, 1 << 64)
-
-
-class Powers:
-    """Powers of the base and its inverse, grown as needed."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, U)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << max(16, (n - 1).bit_length())
-            with np.errstate(over="ignore"):
-                for name, base in (("up", BASE), ("down", BASE_INV)):
-                    a = np.full(size, base, U)
-                    a[0] = 1
-                    setattr(self, name, np.cumprod(a, dtype=U))
-        return self.up, self.down
-
-
-POWERS = Powers()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -44,17 +24,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all spans' values, one span after the other, and where each span begins in them."""
+    sizes = ends - starts
+    first = np.cumsum(sizes) - sizes
+    return np.arange(int(sizes.sum())) + np.repeat(starts - first, sizes), first
+
+
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of ``values[start:end]`` for each span; values are small non-negative ints, spans aren't empty."""
-    up, down = POWERS.get(len(values) + 1)
-    run = np.empty(len(values) + 1, U)
-    run[0] = 0
-    np.cumsum((values.astype(U) + U(1)) * up[: len(values)], out=run[1:])
-    h = (run[ends] - run[starts]) * down[starts]
-    h ^= (ends - starts).astype(U) * U(0xD6E8FEB86659FD93)
+    """A 64-bit hash of ``values[start:end]`` for each span; values are code points or bytes, spans aren't empty and rise."""
+    if not len(starts):
+        return np.empty(0, U)
+    at, first = spread(starts, ends)
+    sizes = ends - starts
+    keys = (at - np.repeat(starts, sizes)).astype(U)
+    keys <<= U(21)
+    keys |= values[at].astype(U)
+    keys *= U(BASE)
+    keys += U(0xD1B54A32D192ED03)
+    h = np.add.reduceat(mix(keys), first)
+    h ^= sizes.astype(U) * U(0xD6E8FEB86659FD93)
     return mix(h)
 
 
+def same_spans(a: np.ndarray, starts: np.ndarray, sizes: np.ndarray, b: np.ndarray, others: np.ndarray) -> bool:
+    """Whether ``a[start : start + size]`` equals ``b[other : other + size]`` for all spans."""
+    at, _ = spread(starts, starts + sizes)
+    return bool((a[at] == b[at + np.repeat(others - starts, sizes)]).all())
+
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
