@@ -16,6 +16,7 @@ are ignored, whatever their names.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm import common
-from quillspan.llm.textnum import span_hashes
+from quillspan.llm.textnum import same_spans, span_hashes
 
 BLOCK = 512
 NULL_KEY = -(1 << 63)
@@ -168,8 +169,20 @@ def pretokens(points: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+def cuts_alike(tokenizer: str) -> bool:
+    """Whether a tokenizer (as JSON) cuts texts as :func:`pretokens` does, and changes nothing before or after."""
+    d = json.loads(tokenizer)
+    cut = d.get("pre_tokenizer") or {}
+    whole = {k: cut.get(k) for k in ("type", "add_prefix_space", "use_regex")} == {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    return whole and d.get("normalizer") is None and not d.get("truncation") and not d.get("padding") and not (d["model"].get("dropout") or 0)
+
+
 class Encoder:
-    """Encodes texts by the tokenizer, each distinct piece once: pieces never share a token, so their ids can be kept and joined."""
+    """Encodes texts by the tokenizer, each distinct piece once: pieces never share a token, so their ids can be kept and joined.
+
+    Pieces are found by their hash and then compared letter by letter; should two share a hash, or the tokenizer cut
+    otherwise, texts are encoded one by one.
+    """
 
     #: Pieces kept; beyond it the store starts anew.
     LIMIT = 1_500_000
@@ -178,12 +191,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_piece = cuts_alike(self.tokenizer.to_str())
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self) -> None:
         self.keys, self.at, self.n = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
         self.flat = np.empty(0, np.uint32)
+        self.letters, self.letter_at, self.letter_n = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -209,6 +224,10 @@ class Encoder:
         at = np.cumsum(n) - n + len(self.flat)
         self.flat = np.concatenate([self.flat, *ids])
         to = np.searchsorted(self.keys, keys)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        begin = np.cumsum(sizes) - sizes + len(self.letters)
+        self.letters = np.append(self.letters, np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), np.uint32))
+        self.letter_at, self.letter_n = np.insert(self.letter_at, to, begin), np.insert(self.letter_n, to, sizes)
         self.at, self.n, self.keys = np.insert(self.at, to, at), np.insert(self.n, to, n), np.insert(self.keys, to, keys)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,7 +236,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order (uint32), and the number of ids of each text."""
-        odd = {i: self.plain(t) for i, t in enumerate(texts) if any(s in t for s in self.special)}
+        odd = {i: self.plain(t) for i, t in enumerate(texts) if not self.by_piece or any(s in t for s in self.special)}
         use = [t if i not in odd else "" for i, t in enumerate(texts)]
         joined = "".join(use)
         if not joined:
@@ -239,7 +258,11 @@ class Encoder:
                 lo, hi = starts[where[new]].tolist(), ends[where[new]].tolist()
                 self.learn(distinct[new], [joined[a:b] for a, b in zip(lo, hi, strict=True)])
             to, known = self.find(distinct)
-            assert known.all()
+            sizes_of = ends - starts
+            if not (known.all() and (sizes_of == sizes_of[where][inverse]).all() and (self.letter_n[to] == sizes_of[where]).all()
+                    and same_spans(points, starts, sizes_of, points, starts[where][inverse]) and same_spans(self.letters, self.letter_at[to], self.letter_n[to], points, starts[where])):
+                each = [np.array(self.plain(t), np.uint32) for t in texts]  # two pieces share a hash
+                return np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each))
             n, at = self.n[to][inverse], self.at[to][inverse]
             total = np.cumsum(n)
             flat = self.flat[np.arange(int(total[-1])) + np.repeat(at - (total - n), n)]
@@ -260,7 +283,7 @@ def encoder(path: str) -> Encoder:
 
 # --- operators ------------------------------------------------------------------------------
 
-FILES = "shard int, uri string, n_docs long, n_tokens long"
+FILES = "shard long, uri string, n_docs long, n_tokens long"
 
 
 def write_shards(df: DataFrame, out: str, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 0, shard_bytes_target: int = 16 << 20) -> DataFrame:
@@ -282,9 +305,9 @@ def write_shards(df: DataFrame, out: str, tokenizer: str, key: str = "doc_id", t
 
         def flush() -> pa.RecordBatch:
             ids = np.concatenate(held)
-            uri = f"{out}/shard-{own:06d}-{part:04d}.dac"
+            uri = f"{out}/shard-{own:07d}-{part:04d}.dac"
             common.put_file(uri, shard_bytes(keys, sizes, ids))
-            return pa.RecordBatch.from_pydict({"shard": pa.array([own * 10_000 + part], pa.int32()), "uri": [uri], "n_docs": pa.array([len(keys)], pa.int64()), "n_tokens": pa.array([len(ids)], pa.int64())})
+            return pa.RecordBatch.from_pydict({"shard": pa.array([own << 24 | part], pa.int64()), "uri": [uri], "n_docs": pa.array([len(keys)], pa.int64()), "n_tokens": pa.array([len(ids)], pa.int64())})
 
         for batch in batches:
             for lo, hi in common.texts(batch):
@@ -314,7 +337,7 @@ def read_shards(files: DataFrame) -> DataFrame:
     for r in files.orderBy("shard").select("shard", "uri", "n_tokens").toLocalIterator():
         before.append((r.shard, r.uri, total))
         total += r.n_tokens
-    work = spark.createDataFrame(before, "shard int, uri string, before long")
+    work = spark.createDataFrame(before, "shard long, uri string, before long")
     work = work.repartition(max(1, min(len(before), 4096)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,9 +346,9 @@ def read_shards(files: DataFrame) -> DataFrame:
                 s = Shard(common.get_file(r["uri"]))
                 data, cut = s.tokens().astype("<u4").tobytes(), (4 * s.first).tolist()
                 sums = [zlib.crc32(memoryview(data)[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
-                yield pa.RecordBatch.from_pydict({"key": pa.array([None if k == NULL_KEY else k for k in s.keys.tolist()], pa.int64()), "start": s.first[:-1] + r["before"], "n_tokens": np.diff(s.first), "ids_crc32": pa.array(sums, pa.int64()), "shard": pa.array([r["shard"]] * len(sums), pa.int32())})
+                yield pa.RecordBatch.from_pydict({"key": pa.array([None if k == NULL_KEY else k for k in s.keys.tolist()], pa.int64()), "start": s.first[:-1] + r["before"], "n_tokens": np.diff(s.first), "ids_crc32": pa.array(sums, pa.int64()), "shard": pa.array([r["shard"]] * len(sums), pa.int64())})
 
-    return work.mapInArrow(run, "key long, start long, n_tokens long, ids_crc32 long, shard int")
+    return work.mapInArrow(run, "key long, start long, n_tokens long, ids_crc32 long, shard long")
 
 
 def encode_corpus(df: DataFrame, tokenizer: str, out: str | None = None, key: str = "doc_id", text: str = "text", end_id: int = 0) -> DataFrame:
