@@ -9,7 +9,7 @@ A text may quote a part only. So an item's excerpts are looked for too, from eve
 the first ``LONGEST`` bytes of them, with proportionally fewer edits. They tell texts and items of which no window is found.
 
 Texts and items are compared lower-cased, with each run of white space as one space. The items' index is sent to the
-tasks in blocks of at most ``BLOCK_BYTES``; more items mean more passes, so what is sent never grows beyond it.
+tasks in files of the shared folder, each of at most ``BLOCK_BYTES`` of items and loaded in turn; more items mean more searches, not larger tasks.
 
 Edge cases: null and empty texts hold nothing; null and empty items, and items under q bytes, match nothing; an item shorter
 than a window is one window with proportionally fewer edits; a word longer than ``LONGEST`` / 4 bytes, as where no spaces are
@@ -19,8 +19,10 @@ each by itself; an empty benchmark leaves all rows; a text is searched whole, ho
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm import common
-from quillspan.llm.textnum import U
+from quillspan.llm.textnum import U, spread
 
 Q, WINDOW, EDITS = 8, 128, 12
 #: An excerpt's words, and its bytes at most and at least.
 WORDS, LONGEST, SHORTEST = 13, 80, 48
 BLOCK_BYTES = 8 << 20
+#: Bytes of text searched for one block of items, if there are several, before the next is loaded.
+ROUND_BYTES = 32 << 20
 #: Candidates aligned at a time.
 ALIGNED = 2048
 #: Bits of the table that tells most places without a q-gram at once.
@@ -57,26 +61,27 @@ def grams(data: bytes) -> np.ndarray:
     return out
 
 
-def banded(patterns: list[bytes], texts: list[bytes], most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(least edits of each pattern with a piece of its text, the piece's end); edits beyond ``most`` are told as most + 1.
+def banded(patterns: list[bytes], texts: list[bytes], width: int, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(least edits of each pattern with a piece of its text, the piece's end) by alignments within the diagonals 0 to width - 1; edits beyond ``most`` are told as most + 1.
 
-    Row by row of the patterns, over the texts' cells, which are those of the band and its margins.
+    Row by row of the patterns, over the band's diagonals: column d of row i is the text's place i + d.
     """
-    sizes, n = np.fromiter(map(len, patterns), np.int64, len(patterns)), max(map(len, texts))
+    sizes, n = np.fromiter(map(len, patterns), np.int64, len(patterns)), max(map(len, patterns)) + width
     p = np.stack([np.frombuffer(x.ljust(int(sizes.max()), b"\0"), np.uint8) for x in patterns]).astype(np.int16)
     t = np.full((len(texts), n), -1, np.int16)
     for i, x in enumerate(texts):
-        t[i, : len(x)] = np.frombuffer(x, np.uint8)
+        t[i, : min(n, len(x))] = np.frombuffer(x[:n], np.uint8)
     edits, ends = most + 1, np.zeros(len(texts), np.int64)
-    at, row, ramp = np.arange(len(texts)), np.zeros((len(texts), n + 1), np.int16), np.arange(n + 1, dtype=np.int16)
+    at, row, ramp = np.arange(len(texts)), np.zeros((len(texts), width), np.int16), np.arange(width, dtype=np.int16)
     for i in range(p.shape[1]):
-        new = np.empty_like(row)
-        new[:, 0] = i + 1
-        np.minimum(row[:, :-1] + (t != p[:, i, None]), row[:, 1:] + 1, out=new[:, 1:])
+        there = t[:, i : i + width]
+        new = row + (there != p[:, i, None])
+        new[there < 0] = 9999  # beyond the text
+        np.minimum(new[:, :-1], row[:, 1:] + 1, out=new[:, :-1])
         row = np.minimum.accumulate(new - ramp, axis=1) + ramp
         least, last = row.min(1), sizes[at] == i + 1
         got = last & (least <= most[at])
-        edits[at[got]], ends[at[got]] = least[got], row[got].argmin(1)
+        edits[at[got]], ends[at[got]] = least[got], row[got].argmin(1) + i + 1
         on = ~last & (least <= most[at])
         if not on.all():
             at, row, t, p = at[on], row[on], t[on], p[on]
@@ -106,6 +111,15 @@ def excerpts(b: bytes) -> list[tuple[int, int]]:
     return out
 
 
+def crowded(keys: np.ndarray, near: int, least: int) -> np.ndarray:
+    """Which keys are, with those that are larger or smaller by ``near``, at least ``least``."""
+    distinct, of, count = np.unique(keys, return_inverse=True, return_counts=True)
+    next_to = np.append(distinct[1:] == distinct[:-1] + near, False)
+    after = np.where(next_to, np.append(count[1:], 0), 0)
+    before = np.append(0, np.where(next_to[:-1], count[:-1], 0))
+    return (count + np.maximum(after, before) >= least)[of]
+
+
 class Index:
     """q-grams of a block of benchmark items, their windows and, with ``parts``, their excerpts."""
 
@@ -139,8 +153,10 @@ class Index:
         self.place = place[order]
         self.gram, first = np.unique(g[self.place], return_index=True)
         self.cut = np.append(first, len(place))
+        self.item_of = np.repeat(np.arange(len(self.items), dtype=np.int32), np.diff(self.base)) if len(self.items) else np.empty(0, np.int32)
         self.table = np.zeros(1 << TABLE, bool)
         self.table[self.slot(self.gram)] = True
+        self.widest = max([1, *(int(w[:, 3].max()) for w in (self.windows, self.pieces) if len(w))])
         #: Least q-grams shared by what matches, and over how many places of the text: by windows, by excerpts.
         self.dense = [(int(w[:, 4].min()), int((w[:, 2] + w[:, 3]).max()) - Q) for w in (self.windows, self.pieces) if len(w)]
 
@@ -171,70 +187,84 @@ class Index:
         n = self.cut[to + 1] - self.cut[to]
         if not len(n):
             return
-        total = np.cumsum(n)
-        there = self.place[np.arange(int(total[-1])) + np.repeat(self.cut[to] - (total - n), n)]
-        here = np.repeat(at, n)
         sizes = np.fromiter(map(len, plain), np.int64, len(plain)) + Q
         stops = np.cumsum(sizes)
         begin = stops - sizes
-        text = np.searchsorted(stops, here, "right")
-        item = np.searchsorted(self.base, there, "right") - 1
-        # Nor can a text and an item match whose q-grams are too few in every band of the widest.
-        pair = text * len(self.items) + item
-        width = max(1, int(max(w[:, 3].max() for w in (self.windows, self.pieces) if len(w))))
-        key = (pair << 30) + (here - there + int(self.base[-1])) // width
-        keys, of, count = np.unique(key, return_inverse=True, return_counts=True)
-        near = np.append(keys[1:] == keys[:-1] + 1, False)
-        after = np.where(near, np.append(count[1:], 0), 0)
-        before = np.append(0, np.where(near[:-1], count[:-1], 0))
-        keep = (count + np.maximum(after, before))[of] >= min(b for b, _ in self.dense)
-        here, there, text, pair = here[keep], there[keep], text[keep], pair[keep]
-        done: set[int] = set()
+        total = np.cumsum(n)
+        there = self.place[np.arange(int(total[-1])) + np.repeat(self.cut[to] - (total - n), n)]
+        here, text, item = np.repeat(at, n), np.repeat(np.searchsorted(stops, at, "right"), n), self.item_of[there]
+        # A text and an item can't match whose q-grams are too few in every band of the widest.
+        diagonal = here - there + int(self.base[-1])
+        keep = crowded((item.astype(np.int64) << 40) + diagonal // self.widest, 1, min(b for b, _ in self.dense))
+        here, there, text, item = here[keep], there[keep], text[keep], item[keep]
+        done = np.empty(0, np.int64)
         for windows, whole in ((self.windows, 1), (self.pieces, 0)):
-            if not whole and len(done):  # what windows have told
-                keep = ~np.isin(pair, np.fromiter(done, np.int64, len(done)))
-                here, there, text, pair = here[keep], there[keep], text[keep], pair[keep]
+            if len(done):  # what windows have told
+                keep = ~np.isin(text * len(self.items) + item, done)
+                here, there, text, item = here[keep], there[keep], text[keep], item[keep]
             if not len(windows) or not len(here):
                 continue
-            for t, i, s, e, edits in self.verified(windows, self.candidates(windows, here, there, text), plain, begin):
-                done.add(t * len(self.items) + i)
+            told = []
+            for t, i, s, e, edits in self.verified(windows, self.candidates(windows, here, there, text, item), plain, begin):
+                told.append(t * len(self.items) + i)
                 yield t, i, s, e, edits, whole
-
-    def candidates(self, windows: np.ndarray, here: np.ndarray, there: np.ndarray, text: np.ndarray) -> np.ndarray:
-        """(text, window, band) that share enough q-grams."""
-        start = self.base[windows[:, 0]] + windows[:, 1]
-        low = np.searchsorted(start + windows[:, 2] - Q, there, "left")  # windows' starts and ends rise
-        n = np.searchsorted(start, there, "right") - low
-        total = np.cumsum(n)
-        k = np.arange(int(total[-1])) + np.repeat(low - (total - n), n)
-        diagonal = np.repeat(here - there, n) + self.base[windows[k, 0]]
-        band = diagonal // np.maximum(1, windows[k, 3]) + (1 << 40)
-        hits = np.concatenate([np.stack([np.repeat(text, n), k, band - b], 1) for b in (0, 1)])  # bands of two widths that overlap by one
-        hits = hits[np.lexsort((hits[:, 2], hits[:, 1], hits[:, 0]))]
-        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(hits)), bool), (hits[1:] != hits[:-1]).any(1))))
-        count = np.diff(np.append(first, len(hits)))
-        return hits[first][count >= windows[hits[first][:, 1], 4]]
+            done = np.append(done, np.array(told, np.int64))
+
+    def candidates(self, windows: np.ndarray, here: np.ndarray, there: np.ndarray, text: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """(text, window, first diagonal in the chunk) that share enough q-grams in a band of twice the most edits of these windows; bands overlap by half."""
+        width = max(1, int(windows[:, 3].max()))
+        start = there - self.base[item]
+        diagonal = here - start  # where the item's start would be
+        span = int(np.diff(self.base).max())
+        out = []
+        for half in (0, width):
+            # Band by band, its q-grams in order of their place in the item; a window's are counted between two places.
+            band = (diagonal + half) // (2 * width)
+            order = np.lexsort((start, band, item, text))
+            groups = np.stack([text[order], item[order], band[order]])
+            first = np.flatnonzero(np.append(True, (groups[:, 1:] != groups[:, :-1]).any(0)))
+            size = np.diff(np.append(first, len(order)))
+            many = size >= int(windows[:, 4].min())
+            first, size = first[many], size[many]
+            if not len(first):
+                continue
+            own = groups[1, first]
+            k, _ = spread(*(np.searchsorted(windows[:, 0], own, side) for side in ("left", "right")))
+            group = np.repeat(np.arange(len(first)), self.per_item(windows)[own])
+            # All groups' places on one axis, so that one search serves all.
+            axis = np.repeat(np.arange(len(first)) * span, size) + start[order[spread(first, first + size)[0]]]
+            low = np.searchsorted(axis, group * span + windows[k, 1], "left")
+            high = np.searchsorted(axis, group * span + windows[k, 1] + windows[k, 2] - Q, "right")
+            on = high - low >= windows[k, 4]
+            g = first[group[on]]
+            out.append(np.stack([groups[0, g], k[on], groups[2, g] * 2 * width - half], 1))
+        hits = np.concatenate(out) if out else np.empty((0, 3), np.int64)
+        return hits[np.lexsort((hits[:, 2], hits[:, 1], hits[:, 0]))]
+
+    def per_item(self, windows: np.ndarray) -> np.ndarray:
+        return np.bincount(windows[:, 0], minlength=len(self.items))
 
     def verified(self, windows: np.ndarray, hits: np.ndarray, plain: list[bytes], begin: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """(text, item, start, end, edits) of the candidates that align."""
+        width = 2 * max(1, int(windows[:, 3].max()))
         done: set[tuple[int, int]] = set()
         for part in (hits[x : x + ALIGNED] for x in range(0, len(hits), ALIGNED)):
             told: dict[int, tuple[int, int, int, int, int]] = {}  # by the candidate's number, as the first in order counts
             exact, rest = set(), []
-            for x, (t, k, b) in enumerate(part.tolist()):
+            starts = (part[:, 2] + windows[part[:, 1], 1] - begin[part[:, 0]]).tolist()
+            for x, ((t, k, _), (i, s, size, edits, _), low) in enumerate(zip(part.tolist(), windows[part[:, 1]].tolist(), starts, strict=True)):
                 if (t, k) in done or (t, k) in exact:
                     continue
-                i, s, size, edits, _ = windows[k].tolist()
-                low = (b - (1 << 40)) * max(1, edits) + s - int(begin[t]) - edits
-                lo, hi = max(0, low), min(len(plain[t]), low + 2 * max(1, edits) + size + 2 * edits)
-                region, pattern = plain[t][lo:hi], self.items[i][1][s : s + size]
+                pad = max(0, -low)  # diagonals before the text's start
+                lo = low + pad
+                region, pattern = plain[t][lo : low + width + size], self.items[i][1][s : s + size]
                 if (y := region.find(pattern)) >= 0:
                     exact.add((t, k))
                     told[x] = (t, i, lo + y, lo + y + size, 0)
-                else:
+                elif edits:
                     rest.append((x, t, i, lo, size, edits, pattern, region))
             if rest:
-                found, ends = banded([r[6] for r in rest], [r[7] for r in rest], np.array([r[5] for r in rest]))
+                found, ends = banded([r[6] for r in rest], [r[7] for r in rest], width, np.array([r[5] for r in rest]))
                 told |= {x: (t, i, max(0, lo + end - size), lo + end, n) for (x, t, i, lo, size, edits, _, _), n, end in zip(rest, found.tolist(), ends.tolist(), strict=True) if n <= edits}
             for x in sorted(told):
                 if (key := tuple(part[x, :2].tolist())) not in done:
@@ -250,53 +280,91 @@ class Index:
         return out
 
 
-def blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text", most: int = BLOCK_BYTES) -> Iterator[Index]:
-    """Indexes of parts of the benchmark of at most about ``most`` bytes, one at a time."""
+def blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text", most: int = BLOCK_BYTES) -> tuple[list[str], DataFrame | None]:
+    """Files in the shared folder with indexes of parts of the benchmark, of at most about ``most`` bytes each, and further ids of repeated items.
+
+    The driver holds one part at a time. Repeated items are indexed once, under their least id; the second result
+    (None if there are none) has a row (rep, item_id) for each of their ids.
+    """
+    spark = benchmark.sparkSession
     src = benchmark.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull())
-    size = src.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = max(1, -(-int(size) // most))
+    once = src.groupBy("t").agg(F.min("k").alias("k"), F.count("*").alias("c"))
+    size, most_often = once.agg(F.sum(F.octet_length("t")), F.max("c")).first()
+    n = max(1, -(-int(size or 0) // most))
+    folder, files = common.scratch(spark, "benchmark"), []
     for b in range(n):
-        part = src if n == 1 else src.where(F.pmod(F.xxhash64("t"), F.lit(n)) == b)
-        yield Index(sorted(((r.k, r.t) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1])), parts=True)
-
-
-def hits(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each contaminated text and item: doc_id, item_id, start, end (bytes of the normalised text), edits, n_windows, share of the item's windows (0 and 0 where only excerpts are found)."""
+        part = once if n == 1 else once.where(F.pmod(F.xxhash64("t"), F.lit(n)) == b)
+        index = Index(sorted(((r.k, r.t) for r in part.select("k", "t").toLocalIterator()), key=lambda r: (r[0] is None, r[0] or 0, r[1])), parts=True)
+        files.append(f"{folder}/{b:06d}")
+        common.put_file(files[-1], pickle.dumps(index))
+    if (most_often or 1) == 1:
+        return files, None
+    return files, common.materialize(src.join(once.where("c > 1").withColumnRenamed("k", "rep"), "t").select("rep", F.col("k").alias("item_id")), "benchmark-ids")
+
+
+@lru_cache(maxsize=1)
+def loaded(uri: str) -> Index:
+    return pickle.loads(common.get_file(uri))  # noqa: S301  written by this job
+
+
+def rounds(batches: Iterator[pa.RecordBatch], several: bool, text: str) -> Iterator[list[tuple[pa.RecordBatch, int, int]]]:
+    """Row ranges to search before the next index is loaded: one, or about ``ROUND_BYTES`` of text if there are several indexes."""
+    held, size = [], 0
+    for batch in batches:
+        at = batch.schema.get_field_index(text)
+        for lo, hi in common.texts(batch, text):
+            held.append((batch, lo, hi))
+            size += batch.column(at).slice(lo, hi - lo).nbytes
+            if not several or size > ROUND_BYTES:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def hits(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", most: int = BLOCK_BYTES) -> DataFrame:
+    """A row for each contaminated text and item: doc_id, item_id, start, end (bytes of the normalised text), edits, n_windows, share of the item's windows (0 and 0 where only excerpts are found). Narrow but for ids of repeated items."""
     src = df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-
-    def run(index: Index):  # noqa: ANN202
-        def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for lo, hi in common.texts(batch):
+    files, ids = blocks(benchmark, most=most)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in rounds(batches, len(files) > 1, "text"):
+            for uri in files:
+                index = loaded(uri)
+                total = np.diff(index.first_window)
+                for batch, lo, hi in held:
                     rows = batch.slice(lo, hi - lo)
-                    ids, got = rows.column(0).to_pylist(), index.found(rows.column(1).to_pylist())
+                    docs, got = rows.column(0).to_pylist(), index.found(rows.column(1).to_pylist())
                     if got:
-                        total = np.diff(index.first_window)
-                        v = [(ids[t], index.items[i][0], s, e, d, n, n / int(total[i])) for (t, i), (s, e, d, n) in got.items()]
+                        v = [(docs[t], index.items[i][0], s, e, d, n, n / int(total[i])) for (t, i), (s, e, d, n) in got.items()]
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*v, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()), strict=True)], ["doc_id", "item_id", "start", "end", "edits", "n_windows", "share"])
 
-        return f
-
-    out = None
-    for index in blocks(benchmark):
-        part = src.mapInArrow(run(index), "doc_id long, item_id long, start long, end long, edits int, n_windows int, share double")
-        out = part if out is None else out.unionByName(part)
-    return out
-
+    out = src.mapInArrow(run, "doc_id long, item_id long, start long, end long, edits int, n_windows int, share double")
+    if ids is None:
+        return out
+    more = ids.withColumnRenamed("item_id", "__id").withColumn("__more", F.lit(True))
+    both = out.join(more, out.item_id.eqNullSafe(more.rep), "left")
+    return both.select("doc_id", F.when(F.col("__more"), F.col("__id")).otherwise(F.col("item_id")).alias("item_id"), *out.columns[2:])
 
-def without(df: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``df`` whose text holds no window or excerpt of the benchmark, with all their columns; narrow."""
 
-    def run(index: Index, at: int):  # noqa: ANN202
-        def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for lo, hi in common.texts(batch, text):
-                    rows = batch.slice(lo, hi - lo)
-                    bad = {t for t, _ in index.found([t or "" for t in rows.column(at).to_pylist()])}
-                    yield rows.filter(pa.array([i not in bad for i in range(len(rows))]))
+def without(df: DataFrame, benchmark: DataFrame, text: str = "text", most: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``df`` whose text holds no window or excerpt of the benchmark, with all their columns; narrow.
 
-        return f
-
-    for index in blocks(benchmark):
-        df = df.mapInArrow(run(index, df.columns.index(text)), df.schema)
-    return df
+    Rows with a null or empty text stay; ids play no part, so repeated and null ones are kept; an empty table stays empty.
+    """
+    at = df.columns.index(text)
+    files, ids = blocks(benchmark, most=most)
+    common.discard(df.sparkSession, ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in rounds(batches, len(files) > 1, text):
+            left = [batch.slice(lo, hi - lo) for batch, lo, hi in held]
+            for uri in files:
+                index = loaded(uri)
+                for x, rows in enumerate(left):
+                    if len(rows):
+                        bad = {t for t, _ in index.found([t or "" for t in rows.column(at).to_pylist()])}
+                        left[x] = rows.filter(pa.array([i not in bad for i in range(len(rows))])) if bad else rows
+            yield from left
+
+    return df.mapInArrow(run, df.schema)
