@@ -18,6 +18,7 @@ are taken in overlapping windows, whose largest kernel counts; other columns are
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm import common
-from quillspan.llm.wordtable import WordTable, points_of, runs
+from quillspan.llm.wordtable import kept_table, points_of, runs
 
 P, DECAY, SHARP, LONGEST = 3, 0.8, 3, 24
 LANDMARKS, TRAIN_DOCS = 64, 1000
@@ -152,10 +153,7 @@ class Sentences:
 
 class Model:
     def __init__(self, landmarks: list[str], weights: np.ndarray, bias: float, scale: tuple[float, float]) -> None:
-        self.landmarks, self.weights, self.bias, self.scale, self.table = landmarks, weights, bias, scale, None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"table": None}
+        self.landmarks, self.weights, self.bias, self.scale, self.name = landmarks, weights, bias, scale, f"toxicity-{uuid.uuid4().hex}"
 
     def fill(self, words: list[str]) -> np.ndarray:
         parts = [windows(w) for w in words]
@@ -169,9 +167,8 @@ class Model:
         s = Sentences(texts)
         if not self.landmarks:
             return np.full(len(texts), self.bias)
-        if self.table is None:
-            self.table = WordTable(self.fill, 1)
-        return s.margins(self.table.look(s.joined, s.points, s.starts, s.ends)[:, 0], self.bias)
+        table = kept_table(self.name, self.fill, 1)
+        return s.margins(table.look(s.joined, s.points, s.starts, s.ends)[:, 0], self.bias)
 
     def score(self, texts: list[str]) -> np.ndarray:
         a, b = self.scale

@@ -44,6 +44,20 @@ class WordTable:
         return self.rows[self.at[np.searchsorted(self.keys, distinct)]][inverse]
 
 
+_KEPT: dict[str, WordTable] = {}
+
+
+def kept_table(model: str, fill: Callable[[list[str]], np.ndarray], width: int) -> WordTable:
+    """The table of a model in this process: tasks of one worker go on with what earlier ones filled. One model's at a time for each kind."""
+    kind = model.split("-")[0]
+    for old in [k for k in _KEPT if k.split("-")[0] == kind and k != model]:
+        del _KEPT[old]
+    if model not in _KEPT:
+        _KEPT[model] = WordTable(fill, width)
+    _KEPT[model].fill = fill
+    return _KEPT[model]
+
+
 def points_of(joined: str) -> np.ndarray:
     return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
 
