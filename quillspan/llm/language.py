@@ -14,6 +14,7 @@ order of name; with no labelled rows at all every text is ``und``; a null id is
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -24,12 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm import common
-from quillspan.llm.wordtable import WordTable, letters, points_of, runs
+from quillspan.llm.wordtable import kept_table, letters, points_of, runs
 
 TRAIN_DOCS, TRAIN_WORDS = 1200, 300
 CHAIN = 128
 LEXICON = 300
 NONE = "und"
+#: Mean familiarity of the words of a text that is in a learned language.
+FAMILIAR = 0.5
 
 
 def features(word: str) -> list[str]:
@@ -95,45 +98,54 @@ class Model:
 
     def __init__(self, langs: list[str], index: dict[str, int], weights: np.ndarray, lexicon: dict[str, list[int]], trans: np.ndarray) -> None:
         self.langs, self.index, self.weights, self.lexicon, self.trans = langs, index, weights, lexicon, trans
-        self.table = None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"table": None}
+        self.name = f"language-{uuid.uuid4().hex}"
 
     def of(self, word: str) -> list[int]:
         got = [i for f in features(word) if (i := self.index.get(f)) is not None]
         return got + self.lexicon.get(word, [])
 
+    def familiar(self, word: str) -> float:
+        """1 for a learned word, else the share of its three-letter pieces (with its ends) that are learned ones of any language."""
+        if f"w{word}" in self.index or word in self.lexicon:
+            return 1.0
+        w = f"<{word}>"
+        n = len(w) - 2
+        return sum(w[i : i + 3] in self.index for i in range(n)) / n
+
     def fill(self, words: list[str]) -> np.ndarray:
+        """A row for each word: its score by language, and how familiar it is."""
         ids = [self.of(w) for w in words]
         n = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((i for x in ids for i in x), np.int64, int(n.sum()))
         run = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(self.weights[flat].astype(np.float64), 0)])
         ends = np.cumsum(n)
-        return (run[ends] - run[ends - n]).astype(np.float32)
+        near = np.fromiter(map(self.familiar, words), np.float32, len(words))
+        return np.concatenate([(run[ends] - run[ends - n]).astype(np.float32), near[:, None]], 1)
 
-    def tag(self, texts: list[str]) -> tuple[Chains, np.ndarray]:
-        if self.table is None:
-            self.table = WordTable(self.fill, len(self.langs))
+    def tag(self, texts: list[str]) -> tuple[Chains, np.ndarray, np.ndarray]:
+        """The words, their posteriors, and how familiar each is."""
+        k = len(self.langs)
         c = Chains([t.lower() for t in texts])
-        return c, c.marginals(self.table.look(c.joined, c.points, c.starts, c.ends), self.trans)[0]
+        rows = kept_table(self.name, self.fill, k + 1).look(c.joined, c.points, c.starts, c.ends)
+        return c, c.marginals(rows[:, :k], self.trans)[0], rows[:, k]
 
-    def predict(self, texts: list[str]) -> list[tuple[str, float, int, int]]:
-        """(language, score, words, words in other languages) of each text."""
+    def predict(self, texts: list[str]) -> list[tuple[str, float, int, int, float]]:
+        """(language, score, words, words in other languages, mean familiarity of the words) of each text."""
         if not self.langs:
-            return [(NONE, 0.0, 0, 0)] * len(texts)
-        c, post = self.tag(texts)
+            return [(NONE, 0.0, 0, 0, 0.0)] * len(texts)
+        c, post, near = self.tag(texts)
         out = []
+        seen = np.concatenate([[0.0], np.cumsum(near, dtype=np.float64)])
         run = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(post, 0)])
         best = post.argmax(1) if len(post) else np.empty(0, np.int64)
         at = 0
         for n in c.per_text.tolist():
             if not n:
-                out.append((NONE, 0.0, 0, 0))
+                out.append((NONE, 0.0, 0, 0, 0.0))
             else:
                 p = (run[at + n] - run[at]) / n
                 k = int(p.argmax())
-                out.append((self.langs[k], float(min(1.0, max(0.0, p[k]))), n, int((best[at : at + n] != k).sum())))
+                out.append((self.langs[k], float(min(1.0, max(0.0, p[k]))), n, int((best[at : at + n] != k).sum()), float(seen[at + n] - seen[at]) / n))
             at += n
         return out
 
@@ -169,7 +181,7 @@ def train(rows: list[tuple[str, str]], rounds: int = 30, rate: float = 0.3, ridg
     words = [c.joined[a:b] for a, b in zip(c.starts.tolist(), c.ends.tolist(), strict=True)]
     vocab: dict[str, int] = {}
     word = np.array([vocab.setdefault(w, len(vocab)) for w in words])
-    seen = Counter(f for w in vocab for f in features(w))
+    seen = Counter(f for w in vocab for f in features(w)[1:]) + Counter(f"w{w}" for w in words)
     index = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n >= 3))}
     lexicon: dict[str, list[int]] = {}
     for y in range(len(langs)):
@@ -221,15 +233,20 @@ def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text
             for lo, hi in common.texts(batch):
                 rows = batch.slice(lo, hi - lo)
                 got = model.predict([t or "" for t in rows.column(1).to_pylist()])
-                a, b, c, d = zip(*got, strict=True)
+                a, b, c, d, _ = zip(*got, strict=True)
                 yield pa.RecordBatch.from_pydict({"doc_id": rows.column(0), "lang_pred": list(a), "score": list(b), "n_words": pa.array(c, pa.int64()), "n_other": pa.array(d, pa.int64())})
 
     src = df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return src.mapInArrow(run, "doc_id long, lang_pred string, score double, n_words long, n_other long")
 
 
-def known(df: DataFrame, model: Model, text: str = "text", least: float = 0.3) -> DataFrame:
-    """The rows of ``df`` whose text is of a known language by at least ``least`` of its words' posteriors; narrow."""
+def known(df: DataFrame, model: Model, text: str = "text", least: float = FAMILIAR) -> DataFrame:
+    """The rows of ``df`` whose text is in the learned languages, one or several of them; narrow, with all columns.
+
+    Posteriors say which of the learned languages is likeliest, not whether it is one of them. So a text goes if it has no letter,
+    or if its words' mean familiarity is under ``least``: text of another language or script, and letters at random.
+    A null id, repeated rows and other columns don't matter; an empty table stays empty.
+    """
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +254,7 @@ def known(df: DataFrame, model: Model, text: str = "text", least: float = 0.3) -
             for lo, hi in common.texts(batch, text):
                 rows = batch.slice(lo, hi - lo)
                 got = model.predict([t or "" for t in rows.column(at).to_pylist()])
-                yield rows.filter(pa.array([g[0] != NONE and g[1] >= least for g in got], pa.bool_()))
+                yield rows.filter(pa.array([g[0] != NONE and g[4] >= least for g in got], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 
@@ -249,5 +266,5 @@ def held_out(key: str, of: int, at: int):  # noqa: ANN201
 
 def word_spans(text: str, model: Model) -> list[tuple[int, int, str, float]]:
     """(start, end, language, posterior) of each word, in code points of the lower-cased text."""
-    c, post = model.tag([text])
+    c, post, _ = model.tag([text])
     return [(int(a), int(b), model.langs[int(p.argmax())], float(p.max())) for a, b, p in zip(c.starts, c.ends, post, strict=True)] if model.langs else []

@@ -48,7 +48,19 @@ def test_held_out_language_and_code_switches():
     rng = random.Random(3)
     spans = language.word_spans(sentence(rng, "aa", 10) + "\n" + sentence(rng, "bb", 10), model)
     assert sum(s[2] == ("aa" if i < 10 else "bb") for i, s in enumerate(spans)) >= 18
-    assert model.predict(["", "12 ?! 3"]) == [("und", 0.0, 0, 0)] * 2
+    assert model.predict(["", "12 ?! 3"]) == [("und", 0.0, 0, 0, 0.0)] * 2
+
+
+def test_unlearned_languages_are_rejected(spark):
+    model = language.train(corpus(1))
+    rng = random.Random(5)
+    junk = ["".join(rng.choices("bcdfghjkmpqrtvxz", k=7)) for _ in range(40)]
+    mixed = sentence(rng, "aa", 20) + "\n" + sentence(rng, "bb", 20)
+    rows = [(1, sentence(rng, "aa"), 0), (2, " ".join(junk), 0), (3, "привет как дела", 0), (4, mixed, 0), (5, None, 0), (5, sentence(rng, "cc"), 0), (None, sentence(rng, "bb"), 0), (7, "12 ?", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang int")
+    out = language.known(df, model)
+    assert out.columns == df.columns and sorted(str(r.doc_id) for r in out.collect()) == ["1", "4", "5", "None"]
+    assert language.known(df.limit(0), model).count() == 0
 
 
 def test_language_table(spark):
