@@ -177,16 +177,11 @@ def solve(stats: DataFrame, targets: list[float], rounds: int | None = None, rat
     return Rates(u.tolist(), missed.tolist())
 
 
-def mixture(docs: DataFrame, labels: DataFrame, rules: dict[str, str], targets: dict[str, float], key: str, text: str, keep: list[str]) -> tuple[Classifier, DataFrame]:
-    """The classifier, and the columns ``keep`` with tokens, posteriors and rates. Posteriors are worked out once and written."""
-    model = fit(docs, labels, rules, key, text)
-    stats = common.materialize(with_posteriors(docs.select(*dict.fromkeys([*keep, text])), model, text).drop(*({text} - set(keep))), "posteriors")
-    return model, solve(stats, [targets[n] for n in rules]).column(stats)
-
-
 def rates(docs: DataFrame, labels: DataFrame, rules: dict[str, str] = DOMAINS, targets: dict[str, float] = TARGETS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_tokens, a posterior ``p_<domain>`` for each domain, rate, and copies drawn by the rate."""
-    model, out = mixture(docs, labels, rules, targets, key, text, [key])
+    """key, n_tokens, a posterior ``p_<domain>`` for each domain, rate, and copies drawn by the rate. Posteriors are worked out once and written."""
+    model = fit(docs, labels, rules, key, text)
+    stats = common.materialize(with_posteriors(docs.select(*dict.fromkeys([key, text])), model, text).drop(*({text} - {key})), "posteriors")
+    out = solve(stats, [targets[n] for n in rules]).column(stats)
     return out.select(F.col(key), F.col("__mix_n").cast("long").alias("n_tokens"), *[F.col(f"__mix_p{d}").alias(f"p_{n}") for d, n in enumerate(model.names)], F.col("__mix_r").alias("rate"), copies(F.col("__mix_r"), F.xxhash64(F.col(key))).alias("copies"))
 
 
@@ -197,7 +192,15 @@ def copies(rate: Column, seed: Column) -> Column:
 
 
 def mixed(docs: DataFrame, labels: DataFrame, rules: dict[str, str] = DOMAINS, targets: dict[str, float] = TARGETS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, each as often as its rate says, with the columns of ``docs``."""
-    _, out = mixture(docs, labels, rules, targets, key, text, docs.columns)
+    """The rows of ``docs``, each as often as its rate says, with the columns of ``docs``; narrow.
+
+    The solver reads a table of tokens and posteriors alone; the last pass works the posteriors out again, rather than write texts twice.
+    Rows with a null or empty text have rate 1 and stay; repeated rows are drawn alike; a null id is kept; an empty table stays empty.
+    """
+    model = fit(docs, labels, rules, key, text)
+    stats = common.materialize(with_posteriors(docs.select(text), model, text).drop(text), "posteriors")
+    found = solve(stats, [targets[n] for n in rules])
+    common.discard(docs.sparkSession, stats)
+    out = found.column(with_posteriors(docs, model, text))
     n = copies(F.col("__mix_r"), F.xxhash64(F.col(key), F.col(text)))
     return out.withColumn("__mix_c", F.explode(F.array_repeat(F.lit(1), n))).select(*docs.columns)
