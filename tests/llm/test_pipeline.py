@@ -4,7 +4,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from quillspan.llm import mixing
+from quillspan.llm import common, mixing, pipeline
 from quillspan.llm.decontaminate import Index
 
 @pytest.fixture(autouse=True)
@@ -91,8 +91,8 @@ def test_pipeline_on_the_smallest_table(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept = [docs.collect()]
     for _, stage in corpus_pipeline.STAGES:
-        out = corpus_pipeline.common.materialize(stage(spark, docs, sf), "test-stage")
-        if stage is not corpus_pipeline.token_ids:
+        out = common.materialize(stage(spark, docs, sf), "test-stage")
+        if stage is not pipeline.token_ids:
             assert out.columns == docs.columns
         docs = out
         kept.append(out.collect())
