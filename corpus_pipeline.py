@@ -1,57 +1,5 @@
-"""A training corpus out of ``documents``: stages that each take what the stage before kept.
+"""The corpus pipeline of the training-data operators, at the place where it is looked for; see ``quillspan.llm.pipeline``."""
 
-Every stage but the last returns the columns of ``documents``. A rejected document goes for good.
-"""
+from quillspan.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from quillspan.llm import common, decontaminate, language, mixing, ngram_join, token_store
-from quillspan.llm.queries import tokenizer_path
-
-
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without letters, and those of no language with 0.3 of the words' posteriors, go."""
-    return language.known(docs, language.fit(docs))
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked texts the one with the smallest id stays."""
-    return ngram_join.without_duplicates(docs)
-
-
-def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold benchmark passages go."""
-    return decontaminate.without(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-
-
-def to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its rate says."""
-    return mixing.mixed(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-
-
-def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The corpus as token files, and where each document is in them."""
-    return token_store.encode_corpus(docs, tokenizer_path()).withColumnRenamed("key", "doc_id")
-
-
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language_id", language_id),
-    ("near_duplicates", near_duplicates),
-    ("decontamination", clean_of_benchmark),
-    ("mixing", to_targets),
-    ("token_ids", token_ids),
-]
-
-#: The first stage is a trained model; tests hold each stage against a brute-force version instead.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = common.materialize(stage(spark, docs, sf_dir), f"stage-{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
