@@ -42,10 +42,14 @@ def format_of_payload(text: Column) -> Column:
     return F.when(wrapped, "json").when(F.contains(t, F.lit("\n")) & F.contains(t, F.lit(":")), "yaml").otherwise("unknown")
 
 
+#: White space of JavaScript, at which anchors' words end.
+ANCHOR_SPACE = "\t\n\x0b\f\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def slug(text: Column) -> Column:
-    """An anchor: lower case, letters, digits and dashes."""
-    s = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s-]", "")
-    return F.regexp_replace(F.regexp_replace(s, r"\s+", "-"), r"^-+|-+$", "")
+    """An anchor: lower case; of its characters only a-z, 0-9 and dashes stay, white space becomes a dash, of several dashes one stays."""
+    s = F.regexp_replace(F.lower(F.regexp_replace(text, f"^[{ANCHOR_SPACE}]+|[{ANCHOR_SPACE}]+$", "")), f"[^a-z0-9{ANCHOR_SPACE}-]", "")
+    return F.regexp_replace(F.regexp_replace(s, f"[{ANCHOR_SPACE}-]+", "-"), "^-|-$", "")
 
 
 def escape_markdown(text: Column, cell: bool = False) -> Column:
@@ -78,6 +82,33 @@ def blockquote(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, "\n"), lambda x: F.concat(F.lit("> "), x)), "\n")
 
 
+def emphasis(text: Column) -> Column:
+    return F.concat(F.lit("*"), escape_markdown(text), F.lit("*"))
+
+
+def strong(text: Column) -> Column:
+    return F.concat(F.lit("**"), escape_markdown(text), F.lit("**"))
+
+
+def link(text: Column, destination: Column) -> Column:
+    """A link; a destination with blanks or parentheses goes in angle brackets."""
+    angled = F.rlike(destination, F.lit(r"[\s()<>]"))
+    plain = F.regexp_replace(destination, r"([<>])", r"\\$1")
+    return F.concat(F.lit("["), escape_markdown(text), F.lit("]("), F.when(angled, F.concat(F.lit("<"), plain, F.lit(">"))).otherwise(destination), F.lit(")"))
+
+
+def code(text: Column) -> Column:
+    """A code span, in as many backticks as its text needs."""
+    longest = F.coalesce(F.array_max(F.transform(F.regexp_extract_all(text, F.lit("`+"), F.lit(0)), F.length)), F.lit(0))
+    fence = F.repeat(F.lit("`"), longest + 1)
+    pad = F.when(F.startswith(text, F.lit("`")) | F.endswith(text, F.lit("`")), " ").otherwise("")
+    return F.concat(fence, pad, text, pad, fence)
+
+
+def callout(kind: str, title: Column, text: Column) -> Column:
+    return F.concat(F.lit(f"> [!{kind.upper()}] "), title, F.lit("\n"), blockquote(text))
+
+
 def code_block(language: str, text: Column) -> Column:
     longest = F.coalesce(F.array_max(F.transform(F.regexp_extract_all(text, F.lit("`+"), F.lit(0)), F.length)), F.lit(0))
     fence = F.repeat(F.lit("`"), F.greatest(F.lit(3), longest + 1))

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from itertools import accumulate
 
 from quillspan.kernels.positions import Source
 
@@ -184,50 +187,51 @@ def validate(spans: list[Span], text: str | None = None) -> None:
         raise ChunkingError("invalid_range", "spans don't cover the source")
 
 
-def build_chunk(spans: list[Span], weights: list[int], members: list[int], ordinal: int) -> Chunk:
-    own = [spans[i] for i in members]
-    return Chunk(
-        ordinal, "".join(s.text for s in own), own[0].start_byte, own[-1].end_byte, own[0].start_rune, own[-1].end_rune, list(members),
-        list(next((s.heading_path for s in own if s.heading_path), [])), sum(weights[i] for i in members), False, next((s.level for s in own if s.level), ""),
-    )
+class Weighed:
+    """Spans with running sums of their weights: a chunk is a pair of cuts, its weight the difference of two sums."""
 
-
-def too_large(span: Span, i: int) -> dict:
-    return {"code": "span_exceeds_budget", "severity": "warning", "message": f"span {i} exceeds budget", "start_byte": span.start_byte, "end_byte": span.end_byte}
-
-
-def fold(spans: list[Span], weights: list[int], budget: int, overlap: int, oversized: str) -> list[Chunk]:
-    chunks: list[Chunk] = []
-    held: list[int] = []
-
-    def close() -> None:
-        if held:
-            chunks.append(build_chunk(spans, weights, held, len(chunks)))
-
-    total = 0
-    for i, w in enumerate(weights):
-        if w < 0:
-            raise ChunkingError("invalid_weight", f"span {i} has a negative weight")
-        if w > budget:
-            if oversized == "error":
+    def __init__(self, spans: list[Span], weights: list[int], budget: int, oversized: str) -> None:
+        for i, w in enumerate(weights):
+            if w < 0:
+                raise ChunkingError("invalid_weight", f"span {i} has a negative weight")
+            if w > budget and oversized == "error":
                 raise ChunkingError("span_exceeds_budget", f"span {i} weighs {w}, budget {budget}")
-            close()
-            chunks.append(build_chunk(spans, weights, [i], len(chunks)))
-            chunks[-1].oversized, chunks[-1].diagnostics = True, [too_large(spans[i], i)]
-            held, total = [], 0
-        elif not held or total + w <= budget:
-            held.append(i)
-            total += w
-        else:
-            close()
-            held = held[len(held) - min(overlap, len(held)) :]
-            total = sum(weights[k] for k in held)
-            while held and total + w > budget:
-                total -= weights[held.pop(0)]
-            held.append(i)
-            total += w
-    close()
-    return chunks
+        self.spans, self.budget = spans, budget
+        self.sums = [0, *accumulate(weights)]
+        self.large = [i for i, w in enumerate(weights) if w > budget]
+        self.text = "".join(s.text for s in spans)
+        self.places = [0, *accumulate(len(s.text) for s in spans)]
+
+    def cuts(self, overlap: int = 0) -> Iterator[tuple[int, int]]:
+        """(first span, span after the last) of each chunk; spans over the budget are alone."""
+        sums, n = self.sums, len(self.spans)
+        stops = iter([*self.large, n])
+        at, stop, start = 0, next(stops), 0
+        while at < n:
+            if at == stop:  # too large; nothing overlaps it
+                yield at, at + 1
+                at = start = at + 1
+                stop = next(stops)
+                continue
+            end = min(stop, bisect_right(sums, sums[start] + self.budget) - 1)
+            yield start, end
+            if end < stop:  # as many of the last spans again as leave room for the next one
+                start = max(start, end - overlap, bisect_left(sums, sums[end + 1] - self.budget))
+            else:
+                start = end
+            at = end
+
+    def within(self, end: int, weight: int) -> int:
+        """The first of the spans up to a cut that together weigh at most so much."""
+        return bisect_left(self.sums, self.sums[end] - weight)
+
+    def chunk(self, a: int, b: int, ordinal: int) -> Chunk:
+        first, last, own = self.spans[a], self.spans[b - 1], self.spans[a:b]
+        large = b - a == 1 and self.sums[b] - self.sums[a] > self.budget
+        told = [{"code": "span_exceeds_budget", "severity": "warning", "message": f"span {a} exceeds budget", "start_byte": first.start_byte, "end_byte": first.end_byte}] if large else []
+        path = next((s.heading_path for s in own if s.heading_path), [])
+        level = next((s.level for s in own if s.level), "")
+        return Chunk(ordinal, self.text[self.places[a] : self.places[b]], first.start_byte, last.end_byte, first.start_rune, last.end_rune, list(range(a, b)), list(path), self.sums[b] - self.sums[a], large, level, told)
 
 
 def check_pack(budget: int, overlap: int, oversized: str, measure: str = "runes", unit: str = "spans") -> None:
@@ -235,38 +239,29 @@ def check_pack(budget: int, overlap: int, oversized: str, measure: str = "runes"
         raise ChunkingError("invalid_option", f"budget {budget}, measure {measure!r}, overlap {overlap} {unit!r}, oversized {oversized!r}")
 
 
+def packed(spans: list[Span], measure: str, budget: int, overlap: int, oversized: str) -> list[Chunk]:
+    w = Weighed(spans, [measure_text(s.text, measure) for s in spans], budget, oversized)
+    return [w.chunk(a, b, i) for i, (a, b) in enumerate(w.cuts(overlap))]
+
+
 def pack(spans: list[Span], max_units: int, measure: str = "runes", overlap: int = 0, oversized: str = "allow", unit: str = "spans") -> list[Chunk]:
     check_pack(max_units, overlap, oversized, measure, unit)
     validate(spans)
-    return fold(spans, [measure_text(s.text, measure) for s in spans], max_units, overlap, oversized)
+    return packed(spans, measure, max_units, overlap, oversized)
 
 
 def pack_weighted(spans: list[Span], weights: list[int], max_weight: int, overlap_weight: int = 0, oversized: str = "allow") -> list[Chunk]:
-    """Packing by the caller's weights; then each chunk takes whole spans off the end of the one before, within the overlap."""
+    """Packing by the caller's weights; each chunk also begins with the last whole spans of the one before, within the overlap's weight and its own room."""
     check_pack(max_weight, overlap_weight, oversized)
     validate(spans)
     if len(spans) != len(weights):
         raise ChunkingError("invalid_weight", "spans and weights differ in length")
-    chunks = fold(spans, weights, max_weight, 0, oversized)
-    if not overlap_weight:
-        return chunks
-    for i in range(1, len(chunks)):
-        own = chunks[i].span_ordinals
-        taken: list[int] = []
-        total, expect = 0, own[0]
-        for k in reversed(chunks[i - 1].span_ordinals):
-            if k >= expect:
-                continue
-            if k != expect - 1 or total + weights[k] > overlap_weight:
-                break
-            taken.insert(0, k)
-            total += weights[k]
-            expect = k
-        while taken and total + chunks[i].weight > max_weight:
-            total -= weights[taken.pop(0)]
-        if taken:
-            old = chunks[i]
-            chunks[i] = replace(build_chunk(spans, weights, [*taken, *own], i), oversized=old.oversized, diagnostics=old.diagnostics)
+    w = Weighed(spans, weights, max_weight, oversized)
+    chunks: list[Chunk] = []
+    start = 0
+    for a, b in w.cuts():
+        start = min(a, max(start, w.within(a, overlap_weight), w.within(b, max_weight))) if overlap_weight and chunks else a
+        chunks.append(w.chunk(start, b, len(chunks)))
     return chunks
 
 
@@ -281,7 +276,7 @@ def segment(text: str, level: str, most: int, measure: str, atomic: tuple[str, .
         return lines(text)
     if level == "runes":
         return windows(text, most, measure)
-    raise ChunkingError("unknown_level", level)
+    raise ChunkingError("unknown_recursive_level", level)
 
 
 def recursive_leaves(text: str, max_units: int, measure: str = "runes", levels: tuple[str, ...] = LEVELS, atomic: tuple[str, ...] = ATOMIC) -> list[Span]:
@@ -311,4 +306,4 @@ def recursive_leaves(text: str, max_units: int, measure: str = "runes", levels:
 def recursive(text: str, max_units: int, measure: str = "runes", levels: tuple[str, ...] = LEVELS, overlap: int = 0, oversized: str = "allow", atomic: tuple[str, ...] = ATOMIC, unit: str = "spans") -> list[Chunk]:
     check_pack(max_units, overlap, oversized, measure, unit)
     leaves = recursive_leaves(text, max_units, measure, tuple(levels), tuple(atomic))
-    return fold(leaves, [measure_text(s.text, measure) for s in leaves], max_units, overlap, oversized)
+    return packed(leaves, measure, max_units, overlap, oversized)

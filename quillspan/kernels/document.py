@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 from quillspan.kernels.sanitize import load_yaml, sanitize, strict_json
@@ -133,27 +134,46 @@ def front_values(raw: str | None, spec: Spec) -> dict:
     return out
 
 
-def closing(body: str, label: str, at: int) -> tuple[int, int] | None:
-    """(start, end) of the tag that closes the one before ``at``; nested ones of its name are counted."""
-    depth = 1
-    for m in re.compile(rf"<[\t\n\f\r ]*(/)?[\t\n\f\r ]*{re.escape(label)}\b[^>]*>", re.I | re.S | re.A).finditer(body, at):
-        if m[1]:
-            depth -= 1
-            if not depth:
-                return m.span()
-        elif not m[0].rstrip(">").rstrip().endswith("/"):
-            depth += 1
-    return None
+class Tags:
+    """The tags of one name in a text, with the closing tag of each place, in one pass.
+
+    With each tag the number of open ones goes up or down by one; the tag that closes what begins at a place is where
+    it first falls below its value there, which a stack of places still waiting tells for all.
+    """
+
+    def __init__(self, text: str, name: str, end: int) -> None:
+        self.spans: list[tuple[int, int]] = []
+        steps = []
+        for m in re.compile(rf"<[\t\n\f\r ]*(/)?[\t\n\f\r ]*{re.escape(name)}\b[^>]*>", re.I | re.S | re.A).finditer(text, 0, end):
+            self.spans.append(m.span())
+            steps.append(-1 if m[1] else 0 if m[0].rstrip(">").rstrip().endswith("/") else 1)
+        self.starts = [a for a, _ in self.spans]
+        self.closer: list[int | None] = [None] * (len(steps) + 1)
+        waiting, depth = [(0, 0)], 0  # (place among the tags, open ones there)
+        for i, step in enumerate(steps):
+            depth += step
+            while waiting and waiting[-1][1] > depth:
+                self.closer[waiting.pop()[0]] = i
+            waiting.append((i + 1, depth))
+
+    def closing(self, at: int) -> tuple[int, int] | None:
+        """(start, end) of the tag that closes the one before ``at``; nested ones are counted."""
+        i = self.closer[bisect_left(self.starts, at)]
+        return None if i is None else self.spans[i]
 
 
 def find_blocks(body: str, rule: BlockRule) -> list[Block]:
     out: list[Block] = []
     if rule.tags:
-        until = 0
-        for m in OPENER.finditer(body):
-            if m[1].lower() in rule.tags and m.start() >= until and (c := closing(body, m[1], m.end())):
-                out.append(Block(rule.name, "xml", body[m.end() : c[0]], body[m.start() : c[1]], m.start(), c[1]))
-                until = c[1]
+        until, end = 0, body.rfind(">") + 1  # no tag ends after that
+        known: dict[str, Tags] = {}
+        for m in OPENER.finditer(body, 0, end):
+            name = m[1].lower()
+            if name in rule.tags and m.start() >= until:
+                tags = known[name] = known.get(name) or Tags(body, name, end)
+                if c := tags.closing(m.end()):
+                    out.append(Block(rule.name, "xml", body[m.end() : c[0]], body[m.start() : c[1]], m.start(), c[1]))
+                    until = c[1]
     if rule.fences:
         for m in FENCE.finditer(body):
             words = m[1].split()
@@ -199,6 +219,10 @@ def build(text: str, spec: Spec = Spec()) -> Document:
     return doc
 
 
+#: Words that strings of front matter may give booleans as.
+TRUE, FALSE = ("1", "t", "T", "TRUE", "true", "True"), ("0", "f", "F", "FALSE", "false", "False")
+
+
 def get_string(values: dict, key: str, fallback: str = "") -> str:
     v = values.get(key)
     if v is None or v == "":
@@ -222,11 +246,8 @@ def get_bool(values: dict, key: str, fallback: bool = False) -> bool:
     v = values.get(key)
     if isinstance(v, bool):
         return v
-    if isinstance(v, str) and v in ("1", "t", "T", "TRUE", "true", "True"):
-        return True
-    if isinstance(v, str) and v in ("0", "f", "F", "FALSE", "false", "False"):
-        return False
-    return fallback
+    word = v.strip() if isinstance(v, str) else ""
+    return True if word in TRUE else False if word in FALSE else fallback
 
 
 def first_heading(body: str) -> str:

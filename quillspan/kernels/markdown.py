@@ -9,6 +9,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections import Counter
 from dataclasses import dataclass, field
 
 from quillspan.kernels.positions import Source
@@ -32,6 +33,14 @@ LINK_TITLE = re.compile(r"""\s+("(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|\((?:\\.|[^(
 LABEL = re.compile(r"\[((?:\\.|[^\[\]\\]){1,999})\]", re.S)
 
 
+#: Blocks and inlines may be nested so deep; each node has a path as long as its depth.
+MOST_DEPTH = 1000
+
+
+class MarkdownError(ValueError):
+    pass
+
+
 @dataclass
 class Node:
     type: str
@@ -60,12 +69,15 @@ class Node:
     blank_last: bool = False
 
     def text_content(self) -> str:
-        return self.text + "".join(c.text_content() for c in self.children)
+        return "".join(n.text for n in self.walk())
 
     def walk(self):  # noqa: ANN201
-        yield self
-        for c in self.children:
-            yield from c.walk()
+        """This node and all below it, in pre-order."""
+        stack = [self]
+        while stack:
+            n = stack.pop()
+            yield n
+            stack += reversed(n.children)
 
 
 class Cursor:
@@ -145,6 +157,8 @@ class Blocks:
     def add(self, node: Node) -> Node:
         if self.tip.type == "list" and node.type != "listItem":
             self.close_to(len(self.open) - 1)
+        if len(self.open) > MOST_DEPTH:
+            raise MarkdownError(f"blocks are nested over {MOST_DEPTH} deep")
         self.tip.children.append(node)
         self.open.append(node)
         return node
@@ -631,43 +645,53 @@ def parse(text: str) -> Node:
     return blocks.root
 
 
-def finish(node: Node, blocks: Blocks, tight: bool = False) -> None:
-    if node.type == "list":
-        items = node.children
-        node.tight = not any(blocks.after_blank(n) for n in [*items[1:], *(c for i in items for c in i.children[1:])])
-        for i in items:
-            finish(i, blocks, node.tight)
-        return
-    if node.type in ("paragraph", "heading"):
-        if node.type == "paragraph" and node.lines:
-            node.start = node.lines[0][0]
-            node.lines[-1] = (node.lines[-1][0], node.lines[-1][1].rstrip(" \t"))
-        Inlines(node, blocks.refs) if node.lines else None
-        if node.type == "paragraph" and tight:
-            node.type = "textBlock"
-        return
-    if node.type in ("codeBlock", "fencedCodeBlock"):
-        node.text = "".join(t for _, t in node.lines)
-        return
-    if node.type == "htmlBlock":
-        node.raw = "".join(t for _, t in node.lines)
-        return
-    for c in node.children:
-        finish(c, blocks, tight if node.type == "listItem" else False)
-
-
-def ranges(node: Node, text: str, limit: int) -> None:
+def finish(root: Node, blocks: Blocks) -> None:
+    """Inline phase of all blocks below ``root``, and what only is known at a block's end."""
+    stack = [(root, False)]
+    while stack:
+        node, tight = stack.pop()
+        below = False
+        if node.type == "list":
+            items = node.children
+            below = node.tight = not any(blocks.after_blank(n) for n in [*items[1:], *(c for i in items for c in i.children[1:])])
+        elif node.type in ("paragraph", "heading"):
+            if node.type == "paragraph" and node.lines:
+                node.start = node.lines[0][0]
+                node.lines[-1] = (node.lines[-1][0], node.lines[-1][1].rstrip(" \t"))
+            Inlines(node, blocks.refs) if node.lines else None
+            if node.type == "paragraph" and tight:
+                node.type = "textBlock"
+            continue
+        elif node.type in ("codeBlock", "fencedCodeBlock"):
+            node.text = "".join(t for _, t in node.lines)
+            continue
+        elif node.type == "htmlBlock":
+            node.raw = "".join(t for _, t in node.lines)
+            continue
+        elif node.type == "listItem":
+            below = tight
+        stack += [(c, below) for c in reversed(node.children)]
+
+
+def ranges(root: Node, text: str, limit: int) -> None:
     """Ends of nodes: the start of what follows, less white space; text and raw HTML keep their own."""
-    for i, c in enumerate(node.children):
-        after = next((n.start for n in node.children[i + 1 :] if n.start >= 0), limit)
-        if c.start < 0:
-            first = next((n.start for n in c.walk() if n.start >= 0), -1)
-            c.start = first
-        if c.start < 0:
-            c.start = c.end = 0
-        elif c.type not in ("text", "rawHTML"):
-            c.end = c.start + len(text[c.start : max(c.start, after)].rstrip())
-        ranges(c, text, after)
+    stack = [(root, limit, 0)]
+    while stack:
+        node, limit, depth = stack.pop()
+        if depth > MOST_DEPTH:
+            raise MarkdownError(f"nodes are nested over {MOST_DEPTH} deep")
+        following = []
+        for c in reversed(node.children):
+            following.append(limit)
+            limit = c.start if c.start >= 0 else limit
+        for c, after in zip(node.children, reversed(following), strict=True):
+            if c.start < 0:
+                c.start = next((n.start for n in c.walk() if n.start >= 0), -1)
+            if c.start < 0:
+                c.start = c.end = 0
+            elif c.type not in ("text", "rawHTML"):
+                c.end = c.start + len(text[c.start : max(c.start, after)].rstrip())
+            stack.append((c, after, depth + 1))
 
 
 ESCAPES = {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;"}
@@ -686,98 +710,103 @@ def url(text: str) -> str:
 
 def render(text: str) -> str:
     """HTML; raw HTML and dangerous URLs are left out."""
-    root = parse(text)
-    return "".join(block(c) for c in root.children)
-
-
-def block(n: Node, tight: bool = False) -> str:
-    if n.type == "heading":
-        return f"<h{n.level}>{inline(n)}</h{n.level}>\n"
-    if n.type == "paragraph":
-        return f"<p>{inline(n)}</p>\n"
-    if n.type == "textBlock":
-        return inline(n)
-    if n.type == "thematicBreak":
-        return "<hr>\n"
-    if n.type == "codeBlock":
-        return f"<pre><code>{escape(n.text)}</code></pre>\n"
-    if n.type == "fencedCodeBlock":
-        lang = f' class="language-{escape(n.language)}"' if n.language else ""
-        return f"<pre><code{lang}>{escape(n.text)}</code></pre>\n"
-    if n.type == "htmlBlock":
-        return "<!-- raw HTML omitted -->\n"
-    if n.type == "blockquote":
-        return "<blockquote>\n" + "".join(map(block, n.children)) + "</blockquote>\n"
-    if n.type == "list":
-        tag = "ol" if n.ordered else "ul"
-        start = f' start="{n.number}"' if n.ordered and n.number != 1 else ""
-        return f"<{tag}{start}>\n" + "".join(map(block, n.children)) + f"</{tag}>\n"
-    body = ""
-    for k, c in enumerate(n.children):
-        body += block(c)
-        if c.type == "textBlock" and k < len(n.children) - 1:
-            body += "\n"
-    lead = "\n" if n.children and n.children[0].type != "textBlock" else ""
-    return f"<li>{lead}{body}</li>\n"
-
-
-def inline(n: Node) -> str:
-    return "".join(map(one, n.children))
-
-
-def one(n: Node) -> str:
-    if n.type == "text":
-        return escape(resolve(n.text)) + ("<br>\n" if n.hard else "\n" if n.soft else "")
-    if n.type == "emphasis":
-        tag = "em" if n.level == 1 else "strong"
-        return f"<{tag}>{inline(n)}</{tag}>"
-    if n.type == "codeSpan":
-        return f"<code>{escape(n.text_content().replace(chr(10), ' '))}</code>"
-    if n.type == "rawHTML":
-        return "<!-- raw HTML omitted -->"
-    if n.type == "autoLink":
-        return f'<a href="{"mailto:" if n.kind else ""}{url(n.text)}">{escape(n.text)}</a>'
-    title = f' title="{escape(n.title)}"' if n.title else ""
-    target = "" if DANGEROUS.match(n.destination) else url(n.destination)
-    if n.type == "image":
-        return f'<img src="{target}" alt="{escape(resolve(n.alt))}"{title}>'
-    return f'<a href="{target}"{title}>{inline(n)}</a>'
+    out: list[str] = []
+    stack: list[Node | str] = list(reversed(parse(text).children))
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            out.append(x)
+        else:
+            stack += reversed(html_parts(x))
+    return "".join(out)
+
+
+def html_parts(n: Node) -> list[Node | str]:
+    """The node's HTML, its children in their places."""
+    inner = n.children
+    match n.type:
+        case "text":
+            return [escape(resolve(n.text)) + ("<br>\n" if n.hard else "\n" if n.soft else "")]
+        case "emphasis":
+            tag = "em" if n.level == 1 else "strong"
+            return [f"<{tag}>", *inner, f"</{tag}>"]
+        case "codeSpan":
+            return [f"<code>{escape(n.text_content().replace(chr(10), ' '))}</code>"]
+        case "rawHTML":
+            return ["<!-- raw HTML omitted -->"]
+        case "autoLink":
+            return [f'<a href="{"mailto:" if n.kind else ""}{url(n.text)}">{escape(n.text)}</a>']
+        case "link" | "image":
+            title = f' title="{escape(n.title)}"' if n.title else ""
+            target = "" if DANGEROUS.match(n.destination) else url(n.destination)
+            if n.type == "image":
+                return [f'<img src="{target}" alt="{escape(resolve(n.alt))}"{title}>']
+            return [f'<a href="{target}"{title}>', *inner, "</a>"]
+        case "heading":
+            return [f"<h{n.level}>", *inner, f"</h{n.level}>\n"]
+        case "paragraph":
+            return ["<p>", *inner, "</p>\n"]
+        case "textBlock":
+            return inner
+        case "thematicBreak":
+            return ["<hr>\n"]
+        case "codeBlock" | "fencedCodeBlock":
+            lang = f' class="language-{escape(n.language)}"' if n.language else ""
+            return [f"<pre><code{lang}>{escape(n.text)}</code></pre>\n"]
+        case "htmlBlock":
+            return ["<!-- raw HTML omitted -->\n"]
+        case "blockquote":
+            return ["<blockquote>\n", *inner, "</blockquote>\n"]
+        case "list":
+            tag = "ol" if n.ordered else "ul"
+            start = f' start="{n.number}"' if n.ordered and n.number != 1 else ""
+            return [f"<{tag}{start}>\n", *inner, f"</{tag}>\n"]
+    # An item: its text isn't wrapped in a tight list, so what comes next goes to a new line.
+    parts: list[Node | str] = ["<li>" + ("\n" if inner and inner[0].type != "textBlock" else "")]
+    for k, c in enumerate(inner):
+        parts.append(c)
+        if c.type == "textBlock" and k < len(inner) - 1:
+            parts.append("\n")
+    return [*parts, "</li>\n"]
 
 
 def flatten(text: str, types: tuple[str, ...] | None = None) -> list[dict]:
     """Nodes in pre-order, with the ids of their parents; ``types`` keeps only some."""
     source, out = Source(text), []
-    count = 0
-
-    def visit(n: Node, parent: int | None, depth: int, index: int, path: list[int]) -> None:
-        nonlocal count
-        own, count = count, count + 1
+    stack: list[tuple[Node, int | None, int, list[int]]] = [(parse(text), None, 0, [])]
+    own = 0
+    while stack:
+        n, parent, index, path = stack.pop()
         if types is None or n.type in types:
             a, b = source.byte_position(n.start), source.byte_position(n.end)
             out.append({
-                "node_id": own, "parent_id": parent, "depth": depth, "child_index": index, "path": path, "type": n.type, "text": n.text, "level": n.level, "language": n.language,
+                "node_id": own, "parent_id": parent, "depth": len(path), "child_index": index, "path": path, "type": n.type, "text": n.text, "level": n.level, "language": n.language,
                 "destination": n.destination, "title": n.title, "alt": n.alt, "ordered": n.ordered, "start": n.number if n.ordered else 0, "marker": n.marker if n.type == "list" else "", "info": n.info, "raw": n.raw,
                 "start_byte": source.byte(n.start), "end_byte": source.byte(n.end), "start_rune": n.start, "end_rune": n.end,
                 "start_line": a[0], "start_column": a[1], "end_line": b[0], "end_column": b[1], "text_content": n.text_content(),
             })
-        for i, c in enumerate(n.children):
-            visit(c, own, depth + 1, i, [*path, i])
-
-    visit(parse(text), None, 0, 0, [])
+        stack += [(c, own, i, [*path, i]) for i, c in reversed(list(enumerate(n.children)))]
+        own += 1
     return out
 
 
+def counts(text: str) -> dict:
+    """How many nodes of some kinds a text has."""
+    root = parse(text)
+    kinds = Counter(n.type for n in root.walk())
+    bad = any(not n.type or n.type == "heading" and not 1 <= n.level <= 6 for n in root.walk())
+    return {"headings": kinds["heading"], "links": kinds["link"], "images": kinds["image"], "code_blocks": kinds["codeBlock"] + kinds["fencedCodeBlock"], "html": kinds["htmlBlock"] + kinds["rawHTML"], "blocks": len(root.children), "valid": not bad}
+
+
 def check(node: dict) -> list[str]:
     """Errors of a node given as nested dicts (type, level, children)."""
     errors: list[str] = []
-
-    def visit(n: dict, path: str) -> None:
+    stack = [(node, "root")]
+    while stack:
+        n, path = stack.pop()
         if not n.get("type"):
             errors.append(f"{path}: type is empty")
         if n.get("type") == "heading" and not 1 <= int(n.get("level") or 0) <= 6:
             errors.append(f"{path}: heading level must be 1 to 6")
-        for i, c in enumerate(n.get("children") or []):
-            visit(c, f"{path}.Children[{i}]")
-
-    visit(node, "root")
+        stack += [(c, f"{path}.Children[{i}]") for i, c in reversed(list(enumerate(n.get("children") or [])))]
     return errors

@@ -301,6 +301,10 @@ def scalar(text: str) -> object:
     return text
 
 
+#: Mappings and lists of a YAML text may be nested so deep.
+MOST_DEPTH = 200
+
+
 def simple_yaml(text: str) -> tuple[bool, str, object]:
     """Block mappings, block lists and scalars: what front matter and small payloads are made of."""
     rows = []
@@ -314,19 +318,21 @@ def simple_yaml(text: str) -> tuple[bool, str, object]:
         rows.append((len(line) - len(line.lstrip(" ")), body, n))
     at = 0
 
-    def block(indent: int) -> object:
+    def block(indent: int, depth: int = 0) -> object:
         nonlocal at
+        if depth > MOST_DEPTH:
+            raise ValueError(f"line {rows[at][2]}: nested over {MOST_DEPTH} deep")
         if rows[at][1].startswith("- ") or rows[at][1] == "-":
             out = []
             while at < len(rows) and rows[at][0] == indent and (rows[at][1].startswith("- ") or rows[at][1] == "-"):
                 rest = rows[at][1][1:].lstrip(" ")
                 if not rest:
                     at += 1
-                    out.append(block(rows[at][0]) if at < len(rows) and rows[at][0] > indent else None)
-                elif re.match(r"""(?:"[^"]*"|'[^']*'|[^\s"'\[{#][^:#]*):(?:\s|$)""", rest):
+                    out.append(block(rows[at][0], depth + 1) if at < len(rows) and rows[at][0] > indent else None)
+                elif rest.startswith("- ") or re.match(r"""(?:"[^"]*"|'[^']*'|[^\s"'\[{#-][^:#]*|-[^\s:][^:#]*):(?:\s|$)""", rest):
                     inner = rows[at][0] + len(rows[at][1]) - len(rest)
                     rows[at] = (inner, rest, rows[at][2])
-                    out.append(block(inner))
+                    out.append(block(inner, depth + 1))
                 else:
                     at += 1
                     out.append(scalar(rest))
@@ -345,7 +351,7 @@ def simple_yaml(text: str) -> tuple[bool, str, object]:
                     raise ValueError(f"line {rows[at - 1][2]}: a mapping isn't allowed here")
                 out[key] = scalar(m[2])
             elif at < len(rows) and (rows[at][0] > indent or rows[at][0] == indent and rows[at][1].startswith("- ")):
-                out[key] = block(rows[at][0])
+                out[key] = block(rows[at][0], depth + 1)
             else:
                 out[key] = None
         return out

@@ -6,8 +6,6 @@ kernels over Arrow batches. Everything is local to a row, so nothing shuffles.
 
 from __future__ import annotations
 
-from dataclasses import asdict
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,26 +50,26 @@ def segment(df: DataFrame, strategy: str, keys: list[str] | None = None, text: s
     if run is None:
         raise k.ChunkingError("unknown_strategy", strategy)
     run("x", **options) if strategy != "runes" else None  # options fail when the plan is made
-    return explode(df, keys or KEYS, text, SPAN, lambda t: [asdict(s) for s in run(t, **options)], errors)
+    return explode(df, keys or KEYS, text, SPAN, lambda t: [vars(s) for s in run(t, **options)], errors)
 
 
 def pack(df: DataFrame, strategy: str, max_units: int, measure: str = "runes", overlap: int = 0, oversized: str = "allow", keys: list[str] | None = None, text: str = "text", errors: str = "permissive", **options: object) -> DataFrame:
     """Segment each text and pack its spans into chunks of at most ``max_units``."""
     k.check_pack(max_units, overlap, oversized, measure)
     run = {"lines": k.lines, "paragraphs": k.paragraphs, "markdownBlocks": k.markdown_blocks, "markdownSections": k.markdown_sections}[strategy]
-    return explode(df, keys or KEYS, text, CHUNK, lambda t: [asdict(c) for c in k.pack(run(t, **options), max_units, measure, overlap, oversized)], errors)
+    return explode(df, keys or KEYS, text, CHUNK, lambda t: [vars(c) for c in k.pack(run(t, **options), max_units, measure, overlap, oversized)], errors)
 
 
 def pack_weighted(df: DataFrame, weights: str, max_weight: int, overlap_weight: int = 0, oversized: str = "allow", keys: list[str] | None = None, text: str = "text", errors: str = "permissive") -> DataFrame:
     """Pack lines by an array column of weights, one for each line."""
     k.check_pack(max_weight, overlap_weight, oversized)
-    return explode(df, keys or KEYS, text, CHUNK, lambda t, w: [asdict(c) for c in k.pack_weighted(k.lines(t), list(w or []), max_weight, overlap_weight, oversized)], errors, [weights])
+    return explode(df, keys or KEYS, text, CHUNK, lambda t, w: [vars(c) for c in k.pack_weighted(k.lines(t), list(w or []), max_weight, overlap_weight, oversized)], errors, [weights])
 
 
 def recursive(df: DataFrame, max_units: int, measure: str = "runes", levels: tuple[str, ...] = k.LEVELS, overlap: int = 0, oversized: str = "allow", atomic: tuple[str, ...] = k.ATOMIC, keys: list[str] | None = None, text: str = "text", errors: str = "permissive") -> DataFrame:
     """Refine each text level by level until its spans fit, then pack them."""
     k.check_pack(max_units, overlap, oversized, measure)
-    return explode(df, keys or KEYS, text, CHUNK, lambda t: [asdict(c) for c in k.recursive(t, max_units, measure, levels, overlap, oversized, atomic)], errors)
+    return explode(df, keys or KEYS, text, CHUNK, lambda t: [vars(c) for c in k.recursive(t, max_units, measure, levels, overlap, oversized, atomic)], errors)
 
 
 def lossless(spans: DataFrame, docs: DataFrame, keys: list[str] | None = None, text: str = "text") -> DataFrame:

@@ -34,19 +34,30 @@ def blocks(parsed: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return parsed.select(*keys, F.posexplode("blocks").alias("ordinal", "b")).select(*keys, "ordinal", "b.*")
 
 
+def value(name: str, column: str) -> tuple[Column, Column]:
+    """A front matter value as text, and its JSON type; both null where it is missing or null."""
+    text = F.get_json_object(column, f"$.{name}")
+    return text, F.expr(f"schema_of_variant(try_variant_get(try_parse_json({column}), '$.{name}', 'variant'))")
+
+
 def get_string(name: str, fallback: str = "", column: str = "frontmatter") -> Column:
-    """A front matter value as a string."""
-    v = F.get_json_object(column, f"$.{name}")
+    """A front matter value as a string; whole numbers have no fraction."""
+    v, kind = value(name, column)
+    v = F.when((kind != "STRING") & F.rlike(v, F.lit(r"^-?\d+\.0+$")), F.regexp_replace(v, r"\.0+$", "")).otherwise(v)
     return F.when(v.isNull() | (v == ""), fallback).otherwise(v)
 
 
 def get_number(name: str, fallback: float = 0.0, column: str = "frontmatter") -> Column:
-    return F.coalesce(F.expr(f"try_cast(get_json_object({column}, '$.{name}') as double)"), F.lit(fallback))
+    """A number, or a string that is one; booleans and others fall back."""
+    v, kind = value(name, column)
+    return F.coalesce(F.when(kind != "BOOLEAN", F.trim(v).try_cast("double")), F.lit(fallback))
 
 
 def get_bool(name: str, fallback: bool = False, column: str = "frontmatter") -> Column:
-    v = F.get_json_object(column, f"$.{name}")
-    return F.when(v.isin("1", "t", "T", "TRUE", "true", "True"), True).when(v.isin("0", "f", "F", "FALSE", "false", "False"), False).otherwise(fallback)
+    """A boolean, or a string that says one; numbers and others fall back."""
+    v, kind = value(name, column)
+    word = F.when(kind.isin("STRING", "BOOLEAN"), F.regexp_replace(v, r"^\s+|\s+$", ""))
+    return F.when(word.isin(*k.TRUE), True).when(word.isin(*k.FALSE), False).otherwise(fallback)
 
 
 def field_names(column: str = "frontmatter") -> Column:
@@ -54,8 +65,8 @@ def field_names(column: str = "frontmatter") -> Column:
 
 
 def first_heading(df: DataFrame, keys: list[str] | None = None, text: str = "text") -> DataFrame:
-    """The first heading with a title, at any depth; '' without one."""
-    return explode(df, keys or KEYS, text, "first_heading string", lambda x: [{"first_heading": k.first_heading(x)}]).drop("error")
+    """The first heading with a title, at any depth; '' without one; null with an ``error`` where the text can't be parsed."""
+    return explode(df, keys or KEYS, text, "first_heading string", lambda x: [{"first_heading": k.first_heading(x)}])
 
 
 def render(df: DataFrame, source: str, columns: list[str], config: t.Config = t.Config(), name: str | None = None, keys: list[str] | None = None, errors: str = "permissive") -> DataFrame:

@@ -14,12 +14,12 @@ KEYS = ["doc_id"]
 
 
 def nodes(df: DataFrame, keys: list[str] | None = None, text: str = "text", types: tuple[str, ...] | None = None) -> DataFrame:
-    """Nodes in pre-order with parent, depth, path, ranges. ``types`` keeps others from being made at all."""
-    return explode(df, keys or KEYS, text, NODE, lambda t: k.flatten(t, types)).drop("error")
+    """Nodes in pre-order with parent, depth, path, ranges; ``types`` keeps others from being made at all. A text nested too deep gives one row with only ``error``."""
+    return explode(df, keys or KEYS, text, NODE, lambda t: k.flatten(t, types))
 
 
 def html(df: DataFrame, keys: list[str] | None = None, text: str = "text") -> DataFrame:
-    return explode(df, keys or KEYS, text, "html string", lambda t: [{"html": k.render(t)}]).drop("error")
+    return explode(df, keys or KEYS, text, "html string", lambda t: [{"html": k.render(t)}])
 
 
 def toc(df: DataFrame, max_level: int = 3, keys: list[str] | None = None, text: str = "text") -> DataFrame:
@@ -36,13 +36,8 @@ def links(df: DataFrame, keys: list[str] | None = None, text: str = "text") -> D
 
 
 def summary(df: DataFrame, keys: list[str] | None = None, text: str = "text") -> DataFrame:
-    """Counts of node kinds; all of a document's nodes are together, so the aggregation is partial before it shuffles."""
-    keys = keys or KEYS
-    t = F.col("type")
-    return nodes(df, keys, text).groupBy(*keys).agg(
-        F.count_if(t == "heading").alias("headings"), F.count_if(t == "link").alias("links"), F.count_if(t == "image").alias("images"), F.count_if(t.isin("codeBlock", "fencedCodeBlock")).alias("code_blocks"),
-        F.count_if(t.isin("htmlBlock", "rawHTML")).alias("html"), F.count_if(F.col("depth") == 1).alias("blocks"), (F.count_if((t == "") | (t == "heading") & ~F.col("level").between(1, 6)) == 0).alias("valid"),
-    )
+    """Counts of node kinds of each text, local to its row."""
+    return explode(df, keys or KEYS, text, "headings long, links long, images long, code_blocks long, html long, blocks long, valid boolean", lambda t: [k.counts(t)])
 
 
 def walk(nodes_: DataFrame, skip=None, stop=None, keys: list[str] | None = None) -> DataFrame:  # noqa: ANN001
@@ -60,4 +55,4 @@ def walk(nodes_: DataFrame, skip=None, stop=None, keys: list[str] | None = None)
 
 
 def invalid(nodes_: DataFrame) -> DataFrame:
-    return nodes_.where((F.coalesce("type", F.lit("")) == "") | ((F.col("type") == "heading") & ~F.col("level").between(1, 6)))
+    return nodes_.where("error is null").where((F.coalesce("type", F.lit("")) == "") | ((F.col("type") == "heading") & ~F.col("level").between(1, 6)))

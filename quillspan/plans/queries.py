@@ -204,7 +204,7 @@ def md_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with {MD} select doc_id, 2::bigint headings, 0::bigint links, 0::bigint images, 1::bigint code_blocks, 2::bigint html, len(regexp_extract_all(b, '[^\\n]+(?:\\n[^\\n]+)*\\n*'))::bigint blocks, true valid from md""")
 def md_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markdown.summary(bodies(spark, sf_dir))
+    return markdown.summary(bodies(spark, sf_dir)).drop("error")
 
 
 @query("""select doc_id, unnest([concat('Head ', source), concat('pic of ', lang), concat('item ', lang, 'n ', n_chars)]) text_content, unnest(['paragraph', 'paragraph', 'list']) as type from documents""")
@@ -215,7 +215,7 @@ def md_text_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""select doc_id, concat('<p>Head <a href="https://x.org/', doc_id, '" title="', lang, '">', source, '</a></p>', chr(10), '<p><img src="p', doc_id, '.png" alt="pic of ', lang, '"></p>', chr(10),
  '<ul>', chr(10), '<li>item ', lang, '</li>', chr(10), '<li><strong>n</strong> ', n_chars, '</li>', chr(10), '</ul>', chr(10)) html from documents""")
 def md_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markdown.html(linked(spark, sf_dir))
+    return markdown.html(linked(spark, sf_dir)).drop("error")
 
 
 @query("select doc_id, 3::bigint seen from documents")
@@ -258,7 +258,7 @@ def doc_body(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select doc_id, source first_heading from documents")
 def doc_first_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document.first_heading(bodies(spark, sf_dir))
+    return document.first_heading(bodies(spark, sf_dir)).drop("error")
 
 
 @query(f"with {MD} select doc_id, concat('title: Doc ', doc_id, chr(10), 'lang: ', lang, chr(10), 'source: ', source, chr(10), 'n_chars: ', n_chars) front, b body from md")
