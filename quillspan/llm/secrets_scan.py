@@ -1,12 +1,16 @@
 """Secret scans: fixed patterns, and an assignment-aware lexer that adds to them.
 
 The lexer reads source and configuration syntax (``name = "literal"``, ``name: literal``, ``"name": "literal"``,
-``name => literal``, ``export NAME=literal``, ``a + b``) into name-literal pairs, line by line. Constants are
-propagated: a name that holds a literal gives it to each name it is assigned to, forward through the text. A
-literal is scored by how sensitive the names are that it reaches, and by its own form.
+``name => literal``, ``export NAME=literal``, XML attributes, triple-quoted strings, YAML block scalars, ``a + b``) into
+name-literal pairs; keys around (of YAML by indentation, of braces) are part of a name; ``#`` and ``//`` comments are passed over.
+Constants are propagated forward through the text: a name gives what it holds to each name it is assigned to, and pieces put
+together by ``+`` are one literal (of ``FOLDED`` characters at most; longer ones are judged piece by piece). A
+literal is scored by the most sensitive of the names that it reaches, and by its form.
+
+A text takes one pass forward and one back over its assignments, whatever they refer to.
 
 Edge cases: a null or empty text has no spans; spans are in code points; the same text twice gives the same
-spans; other columns are kept out of the result; an empty table gives no rows.
+spans; other columns are kept out of the result; an empty table gives no rows; what isn't closed ends with its line.
 """
 
 from __future__ import annotations
@@ -14,13 +18,18 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.llm import common
+
 Span = tuple[str, int, int]
 
 #: Kinds in the order in which equal starts are listed.
@@ -38,8 +47,16 @@ HARMLESS = {"name", "id", "path", "file", "url", "length", "len", "type", "field
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|change_?me|example.*|placeholder|your[-_ ].*|todo|none|null|true|false|undefined|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s)$")
 THRESHOLD = 0.75
 
-TOKEN = re.compile(r"""(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)|(?P<name>[A-Za-z_][\w.\-]*)|(?P<op>:=|=>|==|!=|<=|>=|[=:+,;(){}\[\]#])|(?P<bare>[A-Za-z0-9+/_.=\-@!$%^&*~]+)|(?P<other>\S)""", re.ASCII)
-LEADS = {"export", "const", "let", "var", "final", "static", "public", "private", "set", "string", "str", "val", "env", "local", "declare", "readonly"}
+TOKEN = re.compile(
+    r"""(?P<triple>\"{3}[\s\S]*?\"{3}|'{3}[\s\S]*?'{3})|(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)|(?P<comment>\#[^\n]*|(?<![:\w])//[^\n]*)|(?P<name>[A-Za-z_][\w.\-]*)"""
+    r"""|(?P<op>:=|=>|==|!=|<=|>=|[=:+,;(){}\[\]])|(?P<bare>[A-Za-z0-9+/_.=\-@!$%^&*~]+)|(?P<line>\n[ \t]*)|(?P<other>\S)""",
+    re.ASCII,
+)
+#: A YAML block scalar: its key's indentation, and its lines.
+BLOCK_SCALAR = re.compile(r"[|>][+\-0-9]*[ \t]*(?=\n)")
+NAME, WORD = re.compile(r"[A-Za-z_][\w.\-]*$", re.ASCII), re.compile(r"[A-Za-z_][\w.]*", re.ASCII)
+#: Characters of a literal put together from pieces, and its pieces, at most.
+FOLDED, PIECES = 4096, 64
 HEX_TABLE = bytes(49 if chr(c) in "0123456789abcdef" else 48 for c in range(256))
 
 
@@ -75,84 +92,178 @@ def form_weight(value: str) -> float:
     return min(1.0, 0.15 * classes + 0.12 * entropy + (0.2 if n >= 16 else 0.1))
 
 
-def lex_line(line: str) -> list[tuple[str, str, int, int]]:
+@dataclass
+class Token:
+    kind: str
+    text: str
+    start: int
+    end: int
+
+
+def tokens(text: str) -> list[Token]:
     out = []
-    for m in TOKEN.finditer(line):
-        kind = m.lastgroup
-        if kind == "op" and m[0] == "#":
-            break
-        s, e = m.span()
-        out.append((kind, m[0][1:-1] if kind == "string" else m[0], s + (kind == "string"), e - (kind == "string")))
+    for m in TOKEN.finditer(text):
+        kind, cut = m.lastgroup, {"triple": 3, "string": 1}.get(m.lastgroup, 0)
+        if kind != "comment":
+            s, e = m.span()
+            out.append(Token("string" if kind == "triple" else kind, text[s + cut : e - cut], s + cut, e - cut))
     return out
 
 
-def assignments(text: str) -> Iterator[tuple[str, list[tuple[str, str, int, int]]]]:
-    """(target name, operands) of each assignment; an operand is ("literal" or "name", value, start, end)."""
-    at = 0
-    for line in text.split("\n"):
-        if "=" in line or ":" in line:
-            toks = lex_line(line)
-            i = 0
-            while i + 2 < len(toks):
-                kind, name, _, _ = toks[i]
-                if kind in ("name", "string") and toks[i + 1][0] == "op" and toks[i + 1][1] in ("=", ":", ":=", "=>") and re.match(r"[A-Za-z_][\w.\-]*$", name):
-                    j, operands = i + 2, []
-                    if toks[i + 1][1] == ":" and i + 4 < len(toks) and toks[i + 2][0] == "name" and toks[i + 3][1] in ("=", ":="):
-                        j += 2  # name: type = literal
-                    while j < len(toks):
-                        k, v, s, e = toks[j]
-                        if k == "string":
-                            operands.append(("literal", v, at + s, at + e))
-                        elif k in ("name", "bare"):
-                            while j + 1 < len(toks) and toks[j + 1][0] in ("bare", "name", "other") and toks[j + 1][2] == e:  # a bare word of several tokens
-                                j += 1
-                                v, e = v + toks[j][1], toks[j][3]
-                            operands.append(("name" if re.fullmatch(r"[A-Za-z_][\w.]*", v) else "literal", v, at + s, at + e))
-                        else:
-                            break
-                        if j + 1 < len(toks) and toks[j + 1][1] == "+" and toks[j + 1][0] == "op":
-                            j += 2
-                            continue
-                        j += 1
-                        break
-                    if operands:
-                        yield name, operands
-                    i = max(j, i + 1)
+@dataclass
+class Held:
+    """What an assignment gives to its name: literals, and earlier assignments that it refers to."""
+
+    name: str
+    literals: list[Token]
+    refers: list[int]
+    folded: list[Token] | None = None
+
+
+def block_lines(text: str, at: int, indent: int) -> tuple[list[Token], int]:
+    """The lines from ``at`` (a line's start) on that are indented more than ``indent``, and where they end."""
+    out: list[Token] = []
+    while at < len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        body = text[at:end].strip()
+        lead = end - at - len(text[at:end].lstrip())
+        if body and lead <= indent:
+            break
+        if body:
+            out.append(Token("string", body, at + lead, at + lead + len(body)))
+        at = end + 1
+    return out, at
+
+
+def assignments(text: str) -> list[Held]:
+    toks = tokens(text)
+    out: list[Held] = []
+    latest: dict[str, int] = {}
+    around: list[tuple[str, int]] = []  # keys around: (name, indentation of a YAML key or -1 for braces)
+    indent, i, at_start = 0, 0, True
+    while i < len(toks):
+        t = toks[i]
+        if t.kind == "line":
+            indent, at_start = len(t.text) - 1, True
+            i += 1
+            continue
+        if at_start:
+            while around and around[-1][1] >= indent:
+                around.pop()
+            at_start = False
+        if t.kind == "op" and t.text == "}" and any(k < 0 for _, k in around):
+            while around.pop()[1] >= 0:
+                pass
+        elif t.kind == "op" and t.text == "{":
+            around.append(("", -1))
+        nxt = toks[i + 1] if i + 1 < len(toks) else None
+        if t.kind not in ("name", "string") or nxt is None or nxt.kind != "op" or nxt.text not in ("=", ":", ":=", "=>") or not NAME.match(t.text):
+            i += 1
+            continue
+        j = i + 2
+        if nxt.text == ":" and j + 1 < len(toks) and toks[j].kind == "name" and toks[j + 1].text in ("=", ":=") and toks[j + 1].kind == "op":
+            j += 2  # name: type = literal
+        name = ".".join([*(k for k, _ in around if k), t.text])
+        if j >= len(toks) or toks[j].kind == "line":  # the key of what is indented below
+            if nxt.text == ":":
+                around.append((t.text, indent))
+            i = j
+            continue
+        if toks[j].kind == "op" and toks[j].text == "{":
+            around.append((t.text, -1))
+            i = j + 1
+            continue
+        if nxt.text == ":" and (m := BLOCK_SCALAR.match(text, toks[j].start)):
+            lines, end = block_lines(text, m.end() + 1, indent)
+            out.append(Held(name, lines, [], lines if len(lines) <= PIECES else None))
+            while j < len(toks) and toks[j].start < end - 1:
+                j += 1
+            i = j
+            continue
+        literals, refers, parts, whole = [], [], [], True
+        while j < len(toks):
+            o = toks[j]
+            if o.kind == "string":
+                literals.append(o)
+                parts.append(o)
+            elif o.kind in ("name", "bare"):
+                end = o.end
+                while j + 1 < len(toks) and toks[j + 1].kind in ("bare", "name", "other") and toks[j + 1].start == end:  # a bare word of several tokens
+                    j += 1
+                    end = toks[j].end
+                word = Token("bare", text[o.start : end], o.start, end)
+                k = latest.get(word.text)
+                if not WORD.fullmatch(word.text):
+                    literals.append(word)
+                    parts.append(word)
+                elif k is not None:
+                    refers.append(k)
+                    parts = parts + out[k].folded if out[k].folded is not None and len(parts) + len(out[k].folded) <= PIECES else parts
+                    whole &= out[k].folded is not None
+                elif re.search(r"\d", word.text):
+                    literals.append(word)  # a bare word of letters and digits that names nothing
+                    parts.append(word)
                 else:
-                    i += 1
-        at += len(line) + 1
+                    whole = False
+            else:
+                break
+            j += 1
+            if j < len(toks) and toks[j].kind == "op" and toks[j].text == "+":
+                j += 1
+                continue
+            break
+        if literals or refers:
+            whole &= len(parts) <= PIECES and sum(p.end - p.start for p in parts) <= FOLDED
+            latest[t.text] = len(out)
+            out.append(Held(name, literals, refers, parts if whole else None))
+        else:
+            latest.pop(t.text, None)
+        i = max(j, i + 1)
+    return out
 
 
 def lexed_spans(text: str) -> list[tuple[int, int, float]]:
     """(start, end, score) of literals that reach a sensitive name."""
     if "=" not in text and ":" not in text:
         return []
-    holds: dict[str, list[tuple[str, int, int]]] = {}
+    held = assignments(text)
+    reach = [name_weight(h.name) for h in held]
+    for k in range(len(held) - 1, -1, -1):  # what refers to an assignment comes after it
+        for r in held[k].refers:
+            reach[r] = max(reach[r], reach[k])
     best: dict[tuple[int, int], float] = {}
-    for name, operands in assignments(text):
-        got: list[tuple[str, int, int]] = []
-        for kind, value, s, e in operands:
-            if kind == "literal":
-                got.append((value, s, e))
-            elif value in holds:
-                got += holds[value]
-            elif re.search(r"\d", value) and len(operands) == 1:
-                got.append((value, s, e))  # a bare word of letters and digits that names nothing
-        holds[name] = got
-        weight = name_weight(name)
-        for value, s, e in got if weight else ():
-            score = 0.6 * weight + 0.4 * form_weight(value) if form_weight(value) else 0.0
-            if score >= THRESHOLD:
-                best[s, e] = max(score, best.get((s, e), 0.0))
+    for h, weight in zip(held, reach, strict=True):
+        if not weight:
+            continue
+        for literal in h.literals:
+            tell(best, [literal], literal.text, weight)
+        if h.folded and len(h.folded) > 1:
+            tell(best, h.folded, "".join(p.text for p in h.folded), weight)
     return [(s, e, v) for (s, e), v in best.items()]
 
 
+def tell(best: dict[tuple[int, int], float], pieces: list[Token], value: str, weight: float) -> None:
+    form = form_weight(value)
+    score = 0.6 * weight + 0.4 * form if form else 0.0
+    if score >= THRESHOLD:
+        for p in pieces:
+            best[p.start, p.end] = max(score, best.get((p.start, p.end), 0.0))
+
+
+def outside(spans: list[tuple[int, int, float]], base: list[Span]) -> list[tuple[int, int, float]]:
+    """Those of the spans that lie within none of ``base`` (by start)."""
+    starts = [b for _, b, _ in base]
+    reach = list(accumulate((c for _, _, c in base), max))
+    return [x for x in spans if (i := bisect_right(starts, x[0])) == 0 or reach[i - 1] < x[1]]
+
+
 def scan(text: str, data: bytes | None = None) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans), by start, then kind as listed. A literal within a base span isn't told twice."""
     base = base_spans(text, text.encode("utf-8", "surrogatepass") if data is None else data)
     order = lambda x: (x[1], KINDS.index(x[0]), x[2])
     base.sort(key=order)
-    added = [("lexed", s, e) for s, e, _ in lexed_spans(text) if not any(b <= s and e <= c for _, b, c in base)]
+    added = [("lexed", s, e) for s, e, _ in outside(lexed_spans(text), base)]
     return base, sorted(base + added, key=order) if added else base
 
 
@@ -176,5 +287,6 @@ def scan_secrets(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
             n = lambda k: pa.array(counts[k], pa.int64())
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_assign": n("assign"), "n_access": n("access"), "n_hex": n("hex"), "base_sha256": base_of, "spans": all_of, "n_lexed": n("lexed")})
 
+    common.small_batches(df.sparkSession)
     src = df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return src.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_lexed long")

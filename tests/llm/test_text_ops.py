@@ -95,6 +95,35 @@ def test_lexer_leaves_harmless_literals(text):
     assert lexed_spans(text) == []
 
 
+@pytest.mark.parametrize(
+    ("text", "literals"),
+    [
+        ('passphrase = "Zk93hd72" + "Jd9sQ"', ["Zk93hd72", "Jd9sQ"]),
+        ('a = "Zk93h"\nb = "d72Jd9sQ"\nauth_token_value = a + b', ["Zk93h", "d72Jd9sQ"]),
+        ("credentials:\n  user: bob\n  value: q8Rt22xLmN0pZ\nother:\n  value: q8Rt22xLmN0pY\n", ["q8Rt22xLmN0pZ"]),
+        ("private_key: |\n  MIIEvQ8Rt22xLmN0\n  pZk93hd72Jd9sQab\nname: none of it\n", ["MIIEvQ8Rt22xLmN0", "pZk93hd72Jd9sQab"]),
+        ('<db user="bob" passphrase="Zk93hd72Jd9sQ"/>', ["Zk93hd72Jd9sQ"]),
+        ("passphrase = \"\"\"Zk93hd72Jd9sQ\"\"\"", ["Zk93hd72Jd9sQ"]),
+        ('// passphrase = "Zk93hd72Jd9sQ"\nx = "https://a.b/c" // y', []),
+        ('{"credentials": {"value": "q8Rt22xLmN0pZ"}, "other": {"value": "q8Rt22xLmN0pY"}}', ["q8Rt22xLmN0pZ"]),
+        ('"""open\npassphrase = "Zk93hd72Jd9sQ"', ["Zk93hd72Jd9sQ"]),
+    ],
+)
+def test_lexer_syntax(text, literals):
+    assert sorted(text[s:e] for s, e, _ in lexed_spans(text)) == sorted(literals)
+
+
+def test_hostile_texts_take_no_longer():
+    import time
+
+    texts = ['x = "Zk93hd72Jd9sQ"\n' + "x = x + x\n" * 5000 + "passphrase = x", "".join(f'password{i} = "Zk93hd72Jd9s{i}"\n' for i in range(30_000)), 's = "a"\n' + 's = s + "Zk93hd72"\n' * 30_000 + "secret_key = s", "{" * 200_000 + "a: b", '"""' * 100_001, "a:\n" * 100_000, "".join(" " * i + "k:\n" for i in range(1000))]
+    for t in texts:
+        start = time.process_time()
+        scan(t)
+        assert time.process_time() - start < 4
+    assert "Zk93hd72Jd9sQ" in [texts[0][s:e] for s, e, _ in lexed_spans(texts[0])]
+
+
 def test_scan_table(spark):
     rows = scan_secrets(spark.createDataFrame([(1, None, 0), (2, SECRETS[3], 0), (2, SECRETS[3], 0)], "doc_id long, text string, spans int")).orderBy("doc_id").collect()
     assert rows[0].spans == "" and rows[0].base_sha256 == hashlib.sha256(b"").hexdigest()
