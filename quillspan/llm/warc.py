@@ -2,7 +2,9 @@
 
 Reading: each file is a partition (small ones share one). Filters on the record's type, id, URI, digest,
 date, length and referred id are pushed into the scan: a record's header is parsed first, and the block of a
-record that isn't wanted is skipped by seeking, never decoded. ``payload=none`` skips all blocks.
+record that isn't wanted is skipped by seeking. ``payload=none`` skips all payloads. Of compressed archives each record is a
+member that tells its own size in an extra field of its header, so that only as much of it is inflated as is read and the
+next one is found by seeking; members without that field (of other writers) have to be inflated to find their ends.
 
 Edge cases: a null payload is written as an empty one; null URIs have no header; control characters in
 header values are percent-encoded; rows with the same id and payload are all responses (an id never
@@ -17,7 +19,9 @@ import gzip
 import hashlib
 import io
 import re
+import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -56,6 +60,51 @@ def record_bytes(row: dict) -> bytes:
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
 
+#: A gzip member's header with an extra field (deflate, no time, unknown system), and the field's two letters.
+GZIP_HEAD, FIELD = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff", b"QS"
+
+
+def member(data: bytes) -> bytes:
+    """A gzip member with its own size in an extra field."""
+    z = zlib.compressobj(1, zlib.DEFLATED, -15)
+    body = z.compress(data) + z.flush()
+    size = len(GZIP_HEAD) + 2 + 12 + len(body) + 8
+    return GZIP_HEAD + struct.pack("<H2sHQ", 12, FIELD, 8, size) + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+
+
+def member_size(f: io.BufferedReader) -> int | None:
+    """The size of the member that begins at the file's place, which is left after its header; None if it doesn't tell."""
+    head = f.read(len(GZIP_HEAD) + 14)
+    if len(head) < len(GZIP_HEAD) + 14 or not head.startswith(GZIP_HEAD[:4]):
+        return None
+    extra, field, n, size = struct.unpack("<H2sHQ", head[len(GZIP_HEAD) :])
+    return size if (extra, field, n) == (12, FIELD, 8) else None
+
+
+class Inflated(io.RawIOBase):
+    """The content of one member, inflated as it is read."""
+
+    def __init__(self, f: io.BufferedReader, size: int) -> None:
+        self.f, self.left, self.z, self.tail = f, size, zlib.decompressobj(-15), b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, out) -> int:  # noqa: ANN001
+        while not self.z.eof:
+            if not self.tail:
+                self.tail = self.f.read(min(self.left, 16 << 10))
+                self.left -= len(self.tail)
+                if not self.tail:
+                    raise ValueError("a compressed record ends early")
+            got = self.z.decompress(self.tail, len(out))
+            self.tail = self.z.unconsumed_tail
+            if got:
+                out[: len(got)] = got
+                return len(got)
+        return 0
+
+
 @dataclass
 class FileSet(InputPartition):
     files: list[str] = field(default_factory=list)
@@ -90,7 +139,7 @@ class WarcWriter(DataSourceArrowWriter):
                     parts.append((f"{path}/.{name}", f"{path}/{name}"))
                     out, size = fs.open_output_stream(parts[-1][0], compression=None), 0
                 data = record_bytes(row)
-                data = gzip.compress(data, 1) if self.gzip else data
+                data = member(data) if self.gzip else data
                 out.write(data)
                 size += len(data)
                 if size >= self.limit:
@@ -200,42 +249,63 @@ class WarcReader(DataSourceReader):
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     def records(self, fs, path: str) -> Iterator[dict]:
-        f = io.BufferedReader(fs.open_input_file(path), 1 << 20) if not path.endswith(".gz") else gzip.GzipFile(fileobj=fs.open_input_stream(path, compression=None))
-        with f:
-            while line := f.readline():
-                if not line.strip():
-                    continue
-                if not line.startswith(b"WARC/"):
-                    raise ValueError(f"{path}: no WARC header at {line[:40]!r}")
-                head: dict[str, str] = {}
-                while (line := f.readline()).strip():
-                    k, _, v = line.decode().partition(":")
-                    head[k.lower()] = v.strip()
-                length = int(head["content-length"])
-                row = {name: head.get(h.lower()) for name, h in HEADERS.items()}
-                for k in ("record_id", "refers_to"):
-                    if row[k] is not None:
-                        row[k] = row[k][1:-1]
-                if row["payload_digest"]:
-                    row["payload_digest"] = row["payload_digest"].removeprefix("sha1:")
-                row |= {"content_length": length, "payload_bytes": None, "payload": None}
-                if not self.payload or not keeps(self.filters, row):
-                    if keeps(self.filters, row):
-                        yield row
-                    f.seek(length, 1)
-                    continue
-                block = f.read(length)
-                if len(block) < length:
-                    raise ValueError(f"{path}: a record ends early")
-                http, _, body = block.partition(b"\r\n\r\n")
-                m = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", http)
+        with io.BufferedReader(fs.open_input_file(path), 1 << 18) as f:
+            if not path.endswith(".gz"):
+                yield from self.parsed(f, path)
+                return
+            while f.peek(1):
+                start = f.tell()
+                size = member_size(f)
+                if size is None:  # of another writer
+                    f.seek(start)
+                    yield from self.parsed(gzip.GzipFile(fileobj=f), path)
+                    return
+                yield from self.parsed(io.BufferedReader(Inflated(f, size - len(GZIP_HEAD) - 22), 16 << 10), path, once=True)
+                f.seek(start + size)
+
+    def parsed(self, f, path: str, once: bool = False) -> Iterator[dict]:
+        """Rows of the records of a stream, or of its first one, whose rest isn't read then."""
+        while line := f.readline():
+            if not line.strip():
+                continue
+            if not line.startswith(b"WARC/"):
+                raise ValueError(f"{path}: no WARC header at {line[:40]!r}")
+            head: dict[str, str] = {}
+            while (line := f.readline()).strip():
+                k, _, v = line.decode().partition(":")
+                head[k.lower()] = v.strip()
+            left = length = int(head["content-length"])
+            row = {name: head.get(h.lower()) for name, h in HEADERS.items()}
+            for k in ("record_id", "refers_to"):
+                if row[k] is not None:
+                    row[k] = row[k][1:-1]
+            if row["payload_digest"]:
+                row["payload_digest"] = row["payload_digest"].removeprefix("sha1:")
+            row |= {"content_length": length, "payload_bytes": None, "payload": None}
+            if keeps(self.filters, row):
+                http = b""
+                if head.get("content-type", "").startswith("application/http"):
+                    while left and (line := f.readline(left)):
+                        http += line
+                        left -= len(line)
+                        if not line.strip():
+                            break
                 if row["record_type"] == "revisit":
+                    m = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", http)
                     row["payload_bytes"] = int(m[1]) if m else None
                 else:
-                    row["payload_bytes"], row["payload"] = len(body), body
-                    if self.verify and base64.b32encode(hashlib.sha1(body).digest()).decode() != row["payload_digest"]:
-                        raise ValueError(f"{path}: {row['record_id']} has another digest than its header says")
+                    row["payload_bytes"] = left
+                    if self.payload:
+                        row["payload"] = f.read(left)
+                        if len(row["payload"]) < left:
+                            raise ValueError(f"{path}: a record ends early")
+                        left = 0
+                        if self.verify and base64.b32encode(hashlib.sha1(row["payload"]).digest()).decode() != row["payload_digest"]:
+                            raise ValueError(f"{path}: {row['record_id']} has another digest than its header says")
                 yield row
+            if once:
+                return
+            f.seek(left, 1)
 
 
 class WarcSource(DataSource):
@@ -261,20 +331,34 @@ def register(spark: SparkSession) -> None:
 def write_archive(df: DataFrame, path: str, key: str = "page_id", uri: str = "url", payload: str = "html", least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", **options: str) -> None:
     """Write a record per row. Of rows with equal payloads of at least ``least_bytes``, the smallest key is the response.
 
-    Payloads are never shuffled by their digest: the smallest key of each digest is found on keys and
-    digests alone, pre-aggregated; only revisits then meet the payloads again, by key.
+    The smallest key of each digest is found on keys and digests alone, pre-aggregated. Payloads of rows that can't be
+    revisits (by a Bloom filter of these) are written where they are read; those of the others, hardly more than the revisits', are
+    shuffled to learn which they are, and only without what a revisit leaves out.
     """
-    register(df.sparkSession)
+    spark = df.sparkSession
+    register(spark)
+    common.small_batches(spark)
     src = df.select(F.col(key).alias("k"), F.col(uri).cast("string").alias("u"), F.encode(F.coalesce(F.col(payload).cast("string"), F.lit("")), "utf-8").alias("p"))
-    src = src.withColumns({"d": F.sha1("p"), "n": F.octet_length("p").cast("long")})
-    keys = src.select("k", "d", "n").where(F.col("n") >= least_bytes)
+    src = src.withColumns({"d": F.sha1("p"), "n": F.octet_length("p").cast("long")}).withColumn("h", F.xxhash64("k", "d"))
+    keys = src.select("k", "d", "n", "h").where(F.col("n") >= least_bytes)
     first = keys.groupBy("d", "n").agg(F.min("k").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    again = keys.join(first.hint("merge"), ["d", "n"]).where("k <> first").groupBy("k", "d").agg(F.min("first").alias("first"))
-    rows = src.join(again.hint("merge"), ["k", "d"], "left")
+    again = common.materialize(keys.join(first.hint("merge"), ["d", "n"]).where("k <> first").groupBy("k", "d", "h").agg(F.min("first").alias("first")), "revisits")
+    may = common.bloom(again, "h")
+
+    def split(inside: bool):  # noqa: ANN202
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(common.may_hold(may, batch.column("h")) == inside))
+
+        return src.mapInArrow(run, src.schema)
+
+    seen = split(True).join(again.drop("h").hint("merge"), ["k", "d"], "left")
+    rows = split(False).withColumn("first", F.lit(None).cast(df.schema[key].dataType)).unionByName(seen)
     revisit = F.col("first").isNotNull()
     name = lambda c: F.concat(F.lit("urn:page:"), c.cast("string"))
     out = rows.select(F.when(revisit, "revisit").otherwise("response").alias("record_type"), name(F.col("k")).alias("record_id"), F.col("u").alias("target_uri"), F.lit(date).alias("date"), base32(F.col("d")).alias("payload_digest"), name(F.col("first")).alias("refers_to"), F.col("n").alias("payload_bytes"), F.when(~revisit, F.col("p")).alias("payload"))
     out.write.format("warc").options(**options).mode("append").save(path)
+    common.discard(spark, again)
 
 
 def base32(hexes):

@@ -106,3 +106,64 @@ def test_pushed_filters(spark, tmp_path):
 def test_empty_archive(spark, tmp_path):
     warc.write_archive(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "w"))
     assert warc.read_archive(spark, str(tmp_path / "w")).count() == 0
+
+
+class Counting:
+    """A file system of one file that counts what is read."""
+
+    def __init__(self, data):
+        self.data, self.read = data, 0
+
+    def open_input_file(self, path):
+        import io
+
+        outer = self
+
+        class Raw(io.BytesIO):
+            def readinto(self, b):
+                n = super().readinto(b)
+                outer.read += n
+                return n
+
+        return Raw(self.data)
+
+
+def some_records():
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(6):
+        body = rng.integers(0, 256, 3_000_000).astype(np.uint8).tobytes() if i != 4 else b"small"
+        rows.append({"record_type": "response", "record_id": f"urn:page:{i}", "target_uri": None, "date": "2024", "payload_digest": base64.b32encode(hashlib.sha1(body).digest()).decode(), "refers_to": None, "payload_bytes": None, "payload": body})
+    return rows
+
+
+def test_compressed_payloads_are_skipped_by_seeking():
+    import gzip
+
+    from pyspark.sql.datasource import EqualTo
+
+    rows = some_records()
+    own = b"".join(warc.member(warc.record_bytes(r)) for r in rows)
+    assert gzip.decompress(own) == b"".join(map(warc.record_bytes, rows))  # other readers read it as usual
+    for options, wanted in (({"payload": "none"}, None), ({}, "urn:page:4")):
+        reader = warc.WarcReader({"path": "x", **options})
+        if wanted:
+            list(reader.pushFilters([EqualTo(("record_id",), wanted)]))
+        fs = Counting(own)
+        got = list(reader.records(fs, "a.warc.gz"))
+        assert fs.read < 0.2 * len(own)
+        assert [r["payload_bytes"] for r in got] == ([5] if wanted else [len(r["payload"]) for r in rows])
+        assert [r["payload"] for r in got] == ([b"small"] if wanted else [None] * 6)
+
+
+@pytest.mark.parametrize("one_member", [True, False])
+def test_archives_of_other_writers(one_member):
+    import gzip
+
+    rows = some_records()[3:]
+    parts = [warc.record_bytes(r) for r in rows]
+    data = gzip.compress(b"".join(parts)) if one_member else warc.member(parts[0]) + b"".join(map(gzip.compress, parts[1:]))
+    got = list(warc.WarcReader({"path": "x", "verify": "true"}).records(Counting(data), "a.warc.gz"))
+    assert [r["payload"] for r in got] == [r["payload"] for r in rows]
+    plain = list(warc.WarcReader({"path": "x", "payload": "none"}).records(Counting(b"".join(parts)), "a.warc"))
+    assert [r["payload_bytes"] for r in plain] == [len(r["payload"]) for r in rows]
