@@ -44,6 +44,11 @@ def top_k(found: DataFrame, n: int, keys: list[str] | None = None) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def first_n(found: DataFrame, n: int) -> DataFrame:
+    """The first n candidates of each document, in order of place; local to each row."""
+    return found.where(F.col("ordinal") < n)
+
+
 def sanitize(df: DataFrame, kind: str, options: z.Options = z.Options(), keys: list[str] | None = None, text: str = "text") -> DataFrame:
     """Repair JSON or YAML texts, with the issues that are left and the fixes made."""
     if bad := options.errors(kind):

@@ -108,11 +108,18 @@ def measure_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", fx.measure(t, "bytes").alias("n_bytes"), fx.measure(t, "runes").alias("n_runes"), fx.measure(t, "words").alias("n_words"))
 
 
-def pack_sql(budget: int, overlap: int = 0) -> str:
-    """The greedy fold as a recursion over lines: the state is the chunk's number, first line, weight, and whether it was oversized."""
+LINES = "regexp_extract_all(text, '[^\\n]*\\n|[^\\n]+')"
+
+
+def lines_sql(weight: str = "len(s)") -> str:
+    return f"l as (select doc_id, k, s, {weight} w from (select doc_id, unnest({LINES}) s, generate_subscripts({LINES}, 1) k from documents))"
+
+
+def pack_sql(budget: int, overlap: int = 0, lines: str = "", more: str = "", last: str = "") -> str:
+    """The greedy fold as a recursion over lines (l): the state is the chunk's number, first line, weight, and whether it was oversized. e: the chunks, s: places of lines."""
     again = f"case when {overlap} = 1 and not c.big and c.w0 + l.w <= {budget} then l.k - 1 else l.k end"
     weight = f"case when {overlap} = 1 and not c.big and c.w0 + l.w <= {budget} then c.w0 + l.w else l.w end"
-    return f"""with recursive l as (select doc_id, k, s, len(s) w from (select doc_id, unnest(regexp_extract_all(text, '[^\\n]*\\n|[^\\n]+')) s, generate_subscripts(regexp_extract_all(text, '[^\\n]*\\n|[^\\n]+'), 1) k from documents)),
+    return f"""with recursive {lines or lines_sql()},
 c(doc_id, k, n, f, w, w0, big) as (
   select doc_id, k, 0, k, w, w, w > {budget} from l where k = 1
   union all
@@ -123,9 +130,9 @@ c(doc_id, k, n, f, w, w0, big) as (
     l.w, l.w > {budget}
   from c join l on l.doc_id = c.doc_id and l.k = c.k + 1),
 e as (select doc_id, n, max(k) k, max(f) f, max(w) w, bool_or(big) big from c group by 1, 2),
-s as (select *, coalesce(sum(w) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0) a, sum(w) over (partition by doc_id order by k) z from l)
-select e.doc_id, e.n::int ordinal, x.a::int start_rune, y.z::int end_rune, (e.k - e.f + 1)::int n_spans, e.w::int weight, e.big oversized
-from e join s x on x.doc_id = e.doc_id and x.k = e.f join s y on y.doc_id = e.doc_id and y.k = e.k"""
+s as (select *, coalesce(sum(len(s)) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0) a, sum(len(s)) over (partition by doc_id order by k) z from l){more}
+""" + (last or """select e.doc_id, e.n::int ordinal, x.a::int start_rune, y.z::int end_rune, (e.k - e.f + 1)::int n_spans, e.w::int weight, e.big oversized
+from e join s x on x.doc_id = e.doc_id and x.k = e.f join s y on y.doc_id = e.doc_id and y.k = e.k""")
 
 
 def packed(df: DataFrame) -> DataFrame:
@@ -150,22 +157,49 @@ def pack_oversized_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("start_rune")) - 1).alias("k"), "start_rune", F.col("d.code").alias("code"))
 
 
-@query(pack_sql(900))
+#: Weights unlike lengths: the words of a line.
+LINE_WORDS = "len(list_filter(string_split(replace(s, chr(10), ' '), ' '), lambda x: x <> ''))"
+
+
+def weighed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = F.regexp_extract_all("text", F.lit(r"[^\n]*\n|[^\n]+"), F.lit(0))
+    return docs(spark, sf_dir).withColumn("w", F.transform(parts, lambda x: F.regexp_count(x, F.lit(r"[^ \n]+"))))
+
+
+@query(pack_sql(120, lines=lines_sql(LINE_WORDS)))
 def pack_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The caller's weights, here the lines' code points."""
-    w = F.transform(F.regexp_extract_all("text", F.lit(r"[^\n]*\n|[^\n]+"), F.lit(0)), F.char_length)
-    return packed(chunk.pack_weighted(docs(spark, sf_dir).withColumn("w", w), "w", 900))
+    """The caller's weights, here the lines' words."""
+    return packed(chunk.pack_weighted(weighed(spark, sf_dir), "w", 120))
+
 
+#: Sums of weights up to each line; a chunk begins with what weighs at most 50 of what is before it, within its own room and not before the chunk before begins.
+OVERLAPPED = """, t as (select doc_id, list(q order by k) qs from (select doc_id, k, sum(w) over (partition by doc_id order by k) q from l) group by 1),
+b as (select e.*, 1 + len(list_filter(list_prepend(0, qs), lambda x: x < coalesce(qs[f - 1], 0) - 50)) p, 1 + len(list_filter(list_prepend(0, qs), lambda x: x < qs[e.k] - 120)) r from e join t using (doc_id)),
+o(doc_id, n, g) as (select doc_id, n, f from b where n = 0 union all select b.doc_id, b.n, least(b.f, greatest(o.g, b.p, b.r)) from o join b on b.doc_id = o.doc_id and b.n = o.n + 1)"""
 
-@query()
+
+@query(pack_sql(120, lines=lines_sql(LINE_WORDS), more=OVERLAPPED, last="""select e.doc_id, e.n::int ordinal, x.a::int start_rune, y.z::int end_rune, (e.k - o.g + 1)::int n_spans, (qs[e.k] - coalesce(qs[o.g - 1], 0))::int weight, e.big oversized
+from e join o on o.doc_id = e.doc_id and o.n = e.n join t on t.doc_id = e.doc_id join s x on x.doc_id = e.doc_id and x.k = o.g join s y on y.doc_id = e.doc_id and y.k = e.k"""))
 def pack_weighted_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = F.transform(F.regexp_extract_all("text", F.lit(r"[^\n]*\n|[^\n]+"), F.lit(0)), F.char_length)
-    return packed(chunk.pack_weighted(docs(spark, sf_dir).withColumn("w", w), "w", 900, 300))
+    return packed(chunk.pack_weighted(weighed(spark, sf_dir), "w", 120, 50))
+
+
+#: Leaves level by level: a section that fits; its blocks; the lines of a block (a paragraph is all of it); pieces of 600 of a line.
+LEAVES = f"""{MD}, sec as (select doc_id, source, unnest([b[1:len(b) - len(m)], m]) t, unnest([1, 2]) i from (select *, b[instr(b, concat(chr(10), '## Meta', chr(10))) + 1:] m from md where len(b) > 600)),
+blk as (select doc_id, i, unnest(regexp_extract_all(t, '[^\\n]+(?:\\n[^\\n]+)*\\n*')) t, generate_subscripts(regexp_extract_all(t, '[^\\n]+(?:\\n[^\\n]+)*\\n*'), 1) j from sec where len(t) > 600),
+lin as (select doc_id, i, j, unnest({LINES.replace("text", "t")}) t, generate_subscripts({LINES.replace("text", "t")}, 1) m from blk where len(t) > 600),
+leaf as (select doc_id, 0 i, 0 j, 0 m, 0 q, b s, '' lv from md where len(b) <= 600
+  union all select doc_id, i, 0, 0, 0, t, 'markdownSections' from sec where len(t) <= 600
+  union all select doc_id, i, j, 0, 0, t, 'markdownBlocks' from blk where len(t) <= 600
+  union all select doc_id, i, j, m, 0, t, 'lines' from lin where len(t) <= 600
+  union all select doc_id, i, j, m, q, t[600 * q + 1:600 * q + 600], 'runes' from (select *, unnest(range(0, (len(t) + 599) // 600)) q from lin where len(t) > 600)),
+l as (select doc_id, row_number() over (partition by doc_id order by i, j, m, q) k, s, len(s) w, lv from leaf)"""
 
 
-@query()
+@query(pack_sql(600, lines=LEAVES, last="""select e.doc_id, e.n::int ordinal, x.a::int start_rune, y.z::int end_rune, (e.k - e.f + 1)::int n_spans, e.w::int weight, e.big oversized, x.lv as level
+from e join s x on x.doc_id = e.doc_id and x.k = e.f join s y on y.doc_id = e.doc_id and y.k = e.k"""))
 def recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk.recursive(bodies(spark, sf_dir), 600).select("doc_id", "ordinal", "text", "start_byte", "end_byte", "weight", "oversized", "level", "heading_path")
+    return chunk.recursive(bodies(spark, sf_dir), 600).select("doc_id", "ordinal", "start_rune", "end_rune", F.size("span_ordinals").alias("n_spans"), "weight", "oversized", "level")
 
 
 @query("select doc_id, true lossless from documents")

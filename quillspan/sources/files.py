@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.kernels.sanitize import load_yaml
@@ -44,9 +44,11 @@ def asset(package: str, name: str) -> str:
 
 
 def write_texts(df: DataFrame, path: str, text: str = "text", mode: str = "errorifexists") -> DataFrame:
-    """Write a text column; returns how many rows and UTF-16 units were written."""
+    """Write a text column in one pass; returns how many rows and UTF-16 units were written."""
+    seen = Observation()
+    df = df.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(F.encode(F.col(text), "UTF-16LE")) / 2).cast("long").alias("bytes"))
     df.select(F.col(text).alias("value")).write.mode(mode).text(path, lineSep="\n")
-    return df.agg(F.lit(path).alias("output_path"), F.count("*").alias("rows"), F.sum(F.octet_length(F.encode(F.col(text), "UTF-16LE")) / 2).cast("long").alias("bytes"))
+    return df.sparkSession.createDataFrame([(path, seen.get["rows"], seen.get["bytes"] or 0)], "output_path string, rows long, bytes long")
 
 
 def write_rows(df: DataFrame, path: str, format: str = "json", mode: str = "errorifexists") -> None:

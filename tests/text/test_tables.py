@@ -3,7 +3,8 @@ import pytest
 
 from quillspan.kernels.chunking import lines
 from quillspan.operators import chunk, document, extract
-from quillspan.plans.queries import oracle_sql, queries
+from quillspan.plans import queries as first
+from quillspan.plans import shapes
 from quillspan.sources import files
 
 SF = "/root/testdata/sf0.001"
@@ -21,10 +22,13 @@ def flat(rows, names):
     return sorted(repr([list(v) if isinstance(v, (list, tuple)) else v for v in (r[names.index(n)] for n in sorted(names))]) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+ORACLES, QUERIES = first.oracle_sql() | shapes.oracle_sql(), first.queries() | shapes.queries()
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, duck, name):
-    df = queries()[name](spark, SF)
-    want = duck.sql(oracle_sql()[name])
+    df = QUERIES[name](spark, SF)
+    want = duck.sql(ORACLES[name])
     assert sorted(df.columns) == sorted(want.columns)
     assert flat([tuple(r) for r in df.collect()], df.columns) == flat(want.fetchall(), want.columns)
 
