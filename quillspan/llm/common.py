@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,36 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set(name, rows)
 
 
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def only_cache(name: str, clear: Callable[[], None]) -> None:
+    """Names what this process keeps from task to task; what other operators have kept before is cleared, as workers outlive stages."""
+    for other in [k for k in _CACHES if k != name]:
+        _CACHES.pop(other)()
+    _CACHES[name] = clear
+
+
+def give_back() -> None:
+    """Return freed memory to the system, which allocators else keep while the worker waits for its next task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, which gives memory back at the end of each task."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return f
+
+
 def materialize(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder (a folder for each value of ``by``) and read it again: cuts lineage and survives lost executors.
 

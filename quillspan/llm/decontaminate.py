@@ -304,10 +304,15 @@ def blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text", most:
 
 
 @lru_cache(maxsize=1)
-def loaded(uri: str) -> Index:
+def read_index(uri: str) -> Index:
     return pickle.loads(common.get_file(uri))  # noqa: S301  written by this job
 
 
+def loaded(uri: str) -> Index:
+    common.only_cache("benchmark", read_index.cache_clear)
+    return read_index(uri)
+
+
 def rounds(batches: Iterator[pa.RecordBatch], several: bool, text: str) -> Iterator[list[tuple[pa.RecordBatch, int, int]]]:
     """Row ranges to search before the next index is loaded: one, or about ``ROUND_BYTES`` of text if there are several indexes."""
     held, size = [], 0
@@ -340,7 +345,7 @@ def hits(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "
                         v = [(docs[t], index.items[i][0], s, e, d, n, n / int(total[i])) for (t, i), (s, e, d, n) in got.items()]
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*v, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()), strict=True)], ["doc_id", "item_id", "start", "end", "edits", "n_windows", "share"])
 
-    out = src.mapInArrow(run, "doc_id long, item_id long, start long, end long, edits int, n_windows int, share double")
+    out = src.mapInArrow(common.lean(run), "doc_id long, item_id long, start long, end long, edits int, n_windows int, share double")
     if ids is None:
         return out
     more = ids.withColumnRenamed("item_id", "__id").withColumn("__more", F.lit(True))
@@ -368,4 +373,4 @@ def without(df: DataFrame, benchmark: DataFrame, text: str = "text", most: int =
                         left[x] = rows.filter(pa.array([i not in bad for i in range(len(rows))])) if bad else rows
             yield from left
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(common.lean(run), df.schema)

@@ -138,4 +138,4 @@ def edited_fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text",
                 held.append((k, t))
                 size += len(t)
 
-    return placed.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return placed.mapInArrow(common.lean(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -238,7 +238,7 @@ def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text
 
     common.small_batches(df.sparkSession)
     src = df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return src.mapInArrow(run, "doc_id long, lang_pred string, score double, n_words long, n_other long")
+    return src.mapInArrow(common.lean(run), "doc_id long, lang_pred string, score double, n_words long, n_other long")
 
 
 def known(df: DataFrame, model: Model, text: str = "text", least: float = FAMILIAR) -> DataFrame:
@@ -258,7 +258,7 @@ def known(df: DataFrame, model: Model, text: str = "text", least: float = FAMILI
                 yield rows.filter(pa.array([g[0] != NONE and g[4] >= least for g in got], pa.bool_()))
 
     common.small_batches(df.sparkSession)
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(common.lean(run), df.schema)
 
 
 def held_out(key: str, of: int, at: int):  # noqa: ANN201

@@ -185,6 +185,7 @@ def signed(df: DataFrame, folder: str, buckets: int, words: int, num: int, den:
     """Rows of documents (id, size, digest and place of its set) and of chunks' signatures by bucket; writes the chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.only_cache("sets", lambda: None)
         chunk = TaskContext.get().partitionId() << CHUNK_BITS
         seen: dict[tuple[int, int, int], int] = {}
         sigs: list[np.ndarray] = []
@@ -230,7 +231,7 @@ def signed(df: DataFrame, folder: str, buckets: int, words: int, num: int, den:
         if sigs:
             yield flush()
 
-    return df.mapInArrow(run, SIGNED)
+    return df.mapInArrow(common.lean(run), SIGNED)
 
 
 def batch_of(schema: str, **cols: list | pa.Array) -> pa.RecordBatch:
@@ -270,7 +271,7 @@ def told(placed: DataFrame) -> DataFrame:
         ends = np.cumsum(sizes)
         yield batch_of(TOLD, chunk=[x[0] for x in held], base=[x[1] for x in held], count=sizes, bits=[np.packbits(shared[e - k : e]).tobytes() for e, k in zip(ends.tolist(), sizes.tolist(), strict=True)])
 
-    return placed.mapInArrow(run, TOLD)
+    return placed.mapInArrow(common.lean(run), TOLD)
 
 
 def by_chunk(df: DataFrame, parts: int) -> DataFrame:
@@ -332,7 +333,7 @@ def asked(heard: DataFrame, folder: str, buckets: int) -> DataFrame:
             yield batch_of(ASKED, bucket=[b for b, _ in spans], chunk=[chunk] * k, pos=[pos[x].astype("<u4").tobytes() for _, x in spans], codes=[planes(codes[x]) for _, x in spans], least=[least[x].astype("<i8").tobytes() for _, x in spans], count=[count[x].astype("<u4").tobytes() for _, x in spans])
             yield batch_of(ASKED, bucket=[chunk % buckets], chunk=[chunk], pos=[np.packbits(can).tobytes()])
 
-    return heard.mapInArrow(run, ASKED)
+    return heard.mapInArrow(common.lean(run), ASKED)
 
 
 LED = "chunk long, pos binary, leader binary, count binary, slot long, node long, signs boolean"
@@ -368,7 +369,7 @@ def led(placed: DataFrame) -> DataFrame:
         if spans:
             yield batch_of(LED, chunk=[c for c, _ in spans], pos=[pos[x].astype("<u4").tobytes() for _, x in spans], leader=[leader[x].astype("<i8").tobytes() for _, x in spans], count=[total[x].astype("<i8").tobytes() for _, x in spans])
 
-    return placed.mapInArrow(run, LED)
+    return placed.mapInArrow(common.lean(run), LED)
 
 
 #: kind 0: a document with a leader and their common signatures led by it; 1: a set's size and parities; 2: one of a document's rarest signatures, with its leader.
@@ -414,7 +415,7 @@ def found(answers: DataFrame, folder: str) -> DataFrame:
                 x = rare[lo : lo + 200_000]
                 yield batch_of(FOUND, doc=node[slot[x]], leader=lead[x], sig=c.codes[code[x]].view(np.int64), kind=[2] * len(x))
 
-    return answers.mapInArrow(run, FOUND)
+    return answers.mapInArrow(common.lean(run), FOUND)
 
 
 def items_of(docs: DataFrame, words: int, ids: np.ndarray) -> DataFrame:
@@ -428,7 +429,7 @@ def items_of(docs: DataFrame, words: int, ids: np.ndarray) -> DataFrame:
                 sets = shingle_sets(_encoded(rows.column(1)), words)
                 yield pa.RecordBatch.from_pydict({"doc_id": rows.column(0), "items": pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))})
 
-    return docs.mapInArrow(run, "doc_id long, items array<long>")
+    return docs.mapInArrow(common.lean(run), "doc_id long, items array<long>")
 
 
 def may_link(num: int, den: int):  # noqa: ANN201

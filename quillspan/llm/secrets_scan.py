@@ -289,4 +289,4 @@ def scan_secrets(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     common.small_batches(df.sparkSession)
     src = df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return src.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_lexed long")
+    return src.mapInArrow(common.lean(run), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_lexed long")

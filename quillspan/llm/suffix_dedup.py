@@ -94,7 +94,7 @@ def anchor_blocks(docs: DataFrame, buckets: int) -> DataFrame:
                 full = np.flatnonzero(np.diff(cuts))
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int32()), "block": [word[cuts[b] : cuts[b + 1]].tobytes() for b in full]})
 
-    return docs.mapInArrow(run, "bucket int, block binary")
+    return docs.mapInArrow(common.lean(run), "bucket int, block binary")
 
 
 def filters(blocks: DataFrame, folder: str, buckets: int) -> int:
@@ -130,7 +130,7 @@ def filters(blocks: DataFrame, folder: str, buckets: int) -> int:
             yield flush()
 
     placed = blocks.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket")
-    return int(common.materialize(placed.mapInArrow(run, "bucket int, n long"), "anchor-counts").agg(F.sum("n")).first()[0] or 0)
+    return int(common.materialize(placed.mapInArrow(common.lean(run), "bucket int, n long"), "anchor-counts").agg(F.sum("n")).first()[0] or 0)
 
 
 def slots(v: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -211,7 +211,7 @@ def snippets(docs: DataFrame, folder: str, buckets: int, shards: int) -> DataFra
                     out["starts"].append(at[flat].astype("<u4").tobytes())
                 yield pa.RecordBatch.from_pydict(out | {"shard": pa.array(out["shard"], pa.int32())})
 
-    return docs.mapInArrow(run, SNIPPETS)
+    return docs.mapInArrow(common.lean(run), SNIPPETS)
 
 
 def owners(contents: list[bytes], least: np.ndarray, memory: int = 64 << 20) -> tuple[np.ndarray, np.ndarray]:
@@ -294,7 +294,7 @@ def removed(parts: DataFrame, doc_buckets: int) -> DataFrame:
         if held:
             yield from solve(held)
 
-    return parts.mapInArrow(run, "bucket int, block binary, docs array<long>")
+    return parts.mapInArrow(common.lean(run), "bucket int, block binary, docs array<long>")
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -395,9 +395,9 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", with_
             if out:
                 yield result(out)
 
-    texts = docs.mapInArrow(suspects, "bucket int, block binary, id long, text string")
+    texts = docs.mapInArrow(common.lean(suspects), "bucket int, block binary, id long, text string")
     blocks = places.select("bucket", "block", F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("text"))
     both = texts.unionByName(blocks)
     p = min(doc_buckets, 20_000)
     met = both.repartitionById(p, F.col("bucket") % p).sortWithinPartitions("bucket", F.col("block").isNull())
-    return docs.mapInArrow(clean, schema).unionByName(met.mapInArrow(cut, schema))
+    return docs.mapInArrow(common.lean(clean), schema).unionByName(met.mapInArrow(common.lean(cut), schema))

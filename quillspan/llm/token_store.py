@@ -36,7 +36,7 @@ NULL_KEY = -(1 << 63)
 
 def dac_encode(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray | None, np.ndarray | None]]:
     """Levels of (chunks, bitmap, ranks) for unsigned ids; the last level has no bitmap."""
-    rest, levels = ids.astype(np.uint32), []
+    rest, levels = ids.astype(np.uint32, copy=False), []
     while True:
         low = (rest & 0xFF).astype(np.uint8)
         more = rest > 0xFF
@@ -44,7 +44,7 @@ def dac_encode(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray | None, np.
             levels.append((low, None, None))
             return levels
         bits = np.packbits(more, bitorder="little")
-        per = np.add.reduceat(more, np.arange(0, len(more), BLOCK), dtype=np.int64)
+        per = np.add.reduceat(np.bitwise_count(bits), np.arange(0, len(bits), BLOCK // 8), dtype=np.int64)
         levels.append((low, bits, np.concatenate(([0], np.cumsum(per))).astype(np.uint32)))
         rest = rest[more] >> 8
 
@@ -184,8 +184,8 @@ class Encoder:
     otherwise, texts are encoded one by one.
     """
 
-    #: Pieces kept; beyond it the store starts anew.
-    LIMIT = 1_500_000
+    #: Pieces kept, and their letters and ids; beyond it the store starts anew.
+    LIMIT, LETTERS = 1_200_000, 30_000_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -196,9 +196,9 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.at, self.n = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.keys, self.at, self.n = np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int32)
         self.flat = np.empty(0, np.uint32)
-        self.letters, self.letter_at, self.letter_n = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.letters, self.letter_at, self.letter_n = np.empty(0, np.uint32), np.empty(0, np.int32), np.empty(0, np.int32)
 
     def plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -251,7 +251,7 @@ class Encoder:
             distinct, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
             _, known = self.find(distinct)
             if not known.all():
-                if len(self.keys) + int((~known).sum()) > self.LIMIT:
+                if len(self.keys) + int((~known).sum()) > self.LIMIT or len(self.flat) + len(self.letters) > self.LETTERS:
                     self.clear()
                     known[:] = False
                 new = np.flatnonzero(~known)
@@ -260,10 +260,10 @@ class Encoder:
             to, known = self.find(distinct)
             sizes_of = ends - starts
             if not (known.all() and (sizes_of == sizes_of[where][inverse]).all() and (self.letter_n[to] == sizes_of[where]).all()
-                    and same_spans(points, starts, sizes_of, points, starts[where][inverse]) and same_spans(self.letters, self.letter_at[to], self.letter_n[to], points, starts[where])):
+                    and same_spans(points, starts, sizes_of, points, starts[where][inverse]) and same_spans(self.letters, self.letter_at[to].astype(np.int64), self.letter_n[to].astype(np.int64), points, starts[where])):
                 each = [np.array(self.plain(t), np.uint32) for t in texts]  # two pieces share a hash
                 return np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each))
-            n, at = self.n[to][inverse], self.at[to][inverse]
+            n, at = self.n[to][inverse].astype(np.int64), self.at[to][inverse].astype(np.int64)
             total = np.cumsum(n)
             flat = self.flat[np.arange(int(total[-1])) + np.repeat(at - (total - n), n)]
             piece = np.searchsorted(starts, first + sizes)
@@ -276,11 +276,16 @@ class Encoder:
         return flat, per
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+@lru_cache(maxsize=1)
+def loaded(path: str) -> Encoder:
     return Encoder(path)
 
 
+def encoder(path: str) -> Encoder:
+    common.only_cache("pieces", loaded.cache_clear)
+    return loaded(path)
+
+
 # --- operators ------------------------------------------------------------------------------
 
 FILES = "shard long, uri string, n_docs long, n_tokens long"
@@ -305,12 +310,13 @@ def write_shards(df: DataFrame, out: str, tokenizer: str, key: str = "doc_id", t
 
         def flush() -> pa.RecordBatch:
             ids = np.concatenate(held)
+            held.clear()
             uri = f"{out}/shard-{own:07d}-{part:04d}.dac"
             common.put_file(uri, shard_bytes(keys, sizes, ids))
             return pa.RecordBatch.from_pydict({"shard": pa.array([own << 24 | part], pa.int64()), "uri": [uri], "n_docs": pa.array([len(keys)], pa.int64()), "n_tokens": pa.array([len(ids)], pa.int64())})
 
         for batch in batches:
-            for lo, hi in common.texts(batch):
+            for lo, hi in common.texts(batch, limit=common.CHUNK_BYTES // 2):
                 rows = batch.slice(lo, hi - lo)
                 flat, per = enc.encode(rows.column(1).to_pylist())
                 flat = np.insert(flat, np.cumsum(per), end_id)
@@ -323,7 +329,7 @@ def write_shards(df: DataFrame, out: str, tokenizer: str, key: str = "doc_id", t
         if keys:
             yield flush()
 
-    return placed.mapInArrow(run, FILES)
+    return placed.mapInArrow(common.lean(run), FILES)
 
 
 def read_shards(files: DataFrame) -> DataFrame:
@@ -348,7 +354,7 @@ def read_shards(files: DataFrame) -> DataFrame:
                 sums = [zlib.crc32(memoryview(data)[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
                 yield pa.RecordBatch.from_pydict({"key": pa.array([None if k == NULL_KEY else k for k in s.keys.tolist()], pa.int64()), "start": s.first[:-1] + r["before"], "n_tokens": np.diff(s.first), "ids_crc32": pa.array(sums, pa.int64()), "shard": pa.array([r["shard"]] * len(sums), pa.int64())})
 
-    return work.mapInArrow(run, "key long, start long, n_tokens long, ids_crc32 long, shard long")
+    return work.mapInArrow(common.lean(run), "key long, start long, n_tokens long, ids_crc32 long, shard long")
 
 
 def encode_corpus(df: DataFrame, tokenizer: str, out: str | None = None, key: str = "doc_id", text: str = "text", end_id: int = 0) -> DataFrame:

@@ -293,4 +293,4 @@ def score_texts(df: DataFrame, model: Model, key: str = "doc_id", text: str = "t
 
     common.small_batches(df.sparkSession)
     src = df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return src.mapInArrow(run, "doc_id long, score double, predicted int")
+    return src.mapInArrow(common.lean(run), "doc_id long, score double, predicted int")

@@ -350,7 +350,7 @@ def write_archive(df: DataFrame, path: str, key: str = "page_id", uri: str = "ur
             for batch in batches:
                 yield batch.filter(pa.array(common.may_hold(may, batch.column("h")) == inside))
 
-        return src.mapInArrow(run, src.schema)
+        return src.mapInArrow(common.lean(run), src.schema)
 
     seen = split(True).join(again.drop("h").hint("merge"), ["k", "d"], "left")
     rows = split(False).withColumn("first", F.lit(None).cast(df.schema[key].dataType)).unionByName(seen)

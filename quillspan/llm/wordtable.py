@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 
+from quillspan.llm import common
 from quillspan.llm.textnum import span_hashes
 from quillspan.llm.token_store import LETTER, code_classes
 
@@ -48,11 +49,10 @@ _KEPT: dict[str, WordTable] = {}
 
 
 def kept_table(model: str, fill: Callable[[list[str]], np.ndarray], width: int) -> WordTable:
-    """The table of a model in this process: tasks of one worker go on with what earlier ones filled. One model's at a time for each kind."""
-    kind = model.split("-")[0]
-    for old in [k for k in _KEPT if k.split("-")[0] == kind and k != model]:
-        del _KEPT[old]
+    """The table of a model in this process: tasks of one worker go on with what earlier ones filled. One model's at a time."""
+    common.only_cache("words", _KEPT.clear)
     if model not in _KEPT:
+        _KEPT.clear()
         _KEPT[model] = WordTable(fill, width)
     _KEPT[model].fill = fill
     return _KEPT[model]
