@@ -1,10 +1,11 @@
 """Suffix-array dedup: bytes of strings of ``MATCH`` bytes that also start in a document with a smaller id are removed.
 
 1. Every string of MATCH bytes has an anchor: the least hash of its GRAM-byte pieces. Equal strings have equal anchors, so
-   only strings whose anchor occurs in two documents can repeat. Anchors go to buckets, 6 bytes each, once a task's
+   only strings whose anchor occurs in two documents can repeat. Anchors go to buckets, 7 bytes each, once a task's
    chunk; a bucket keeps those of several documents in a Bloom filter of bounded size, a file in the shared folder.
 2. Neighbouring strings with one anchor make a snippet. Snippets with a shared anchor go to shards by their anchor; equal ones
-   of a chunk travel once, with their places.
+   of a chunk travel once, with their places. An anchor at over ``HOT`` places (a line of most documents, each time in other
+   surroundings) would fill its shard; its snippets are cut into their strings, which go to shards by their own hash.
 3. A shard sorts the suffixes of its distinct snippets by external induced sorting (``suffix_sort``), compares neighbours over MATCH bytes,
    and so finds for each string its smallest document; places in larger documents are removed.
 4. The places come together by document, with the texts of documents that have any.
@@ -35,6 +36,8 @@ MATCH, GRAM = 50, 24
 LONGEST = 4096
 #: Bytes of all anchors' filters together at most; beyond it they let more pass.
 FILTER_BYTES = 64 << 20
+#: Places of an anchor beyond which its snippets are cut into strings: a shard would get over about 50 MB of them.
+HOT = 1 << 19
 NO_ID = (1 << 63) - 1
 
 
@@ -68,7 +71,7 @@ def encoded(col: pa.Array) -> list[bytes]:
 
 
 def anchor_blocks(docs: DataFrame, buckets: int) -> DataFrame:
-    """Packed anchors by bucket: 48 bits of each anchor of a chunk, the lowest tells whether two documents of the chunk have it."""
+    """Packed anchors by bucket, 7 bytes each: 48 bits of each anchor of a chunk, the lowest tells whether two documents of the chunk have it; and at how many places, as a power of two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,33 +88,37 @@ def anchor_blocks(docs: DataFrame, buckets: int) -> DataFrame:
                 v, doc = a[at][order], doc[order]
                 new = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
                 several = np.maximum.reduceat(np.append(False, (v[1:] == v[:-1]) & (doc[1:] != doc[:-1])), new)
+                places = np.log2(np.diff(np.append(new, len(v)))).astype(U)
                 v = v[new]
-                word = (v >> U(16)) & ~U(1) | several.astype(U)
+                word = ((v >> U(16)) & ~U(1) | several.astype(U)) << U(8) | places
                 bucket = (v % U(buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                word = np.ascontiguousarray(word[order].astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6]
+                word = np.ascontiguousarray(word[order].astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :7]
                 full = np.flatnonzero(np.diff(cuts))
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int32()), "block": [word[cuts[b] : cuts[b + 1]].tobytes() for b in full]})
 
     return docs.mapInArrow(common.lean(run), "bucket int, block binary")
 
 
-def filters(blocks: DataFrame, folder: str, buckets: int) -> int:
-    """Writes each bucket's filter of anchors of several documents; returns how many anchors they hold."""
+def filters(blocks: DataFrame, folder: str, buckets: int, hot: int) -> int:
+    """Writes each bucket's filter of anchors of several documents, and which of them are at over ``hot`` places; returns how many anchors the filters hold."""
     parts = min(buckets, 20_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
         def flush() -> pa.RecordBatch:
-            raw = np.frombuffer(b"".join(held), np.uint8).reshape(-1, 6)
+            raw = np.frombuffer(b"".join(held), np.uint8).reshape(-1, 7)
             word = np.zeros((len(raw), 8), np.uint8)
-            word[:, :6] = raw
+            word[:, :7] = raw
             word = np.sort(word.view("<u8").ravel())
-            value = word >> U(1)
+            value = word >> U(9)
             new = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
-            shared = value[new][(np.diff(np.append(new, len(value))) > 1) | (np.bitwise_or.reduceat(word, new) & U(1) == 1)]
+            shared = value[new][(np.diff(np.append(new, len(value))) > 1) | (np.bitwise_or.reduceat(word, new) & U(256) == U(256))]
+            many = value[new][np.add.reduceat(U(1) << (word & U(255)), new) > U(hot)]
+            if len(many):
+                common.put_file(f"{folder}-hot/{now:06d}", many.astype("<u8").tobytes())
             bits = min(FILTER_BYTES * 8 // buckets, max(64, 12 * len(shared)))
             table = np.zeros(-(-bits // 8), np.uint8)
             for b in slots(shared, 8 * len(table)):
@@ -137,13 +144,23 @@ def slots(v: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(mix(v + U(i << 56)) % U(bits)).astype(np.int64) for i in (1, 2)]
 
 
-@lru_cache(maxsize=1)
-def loaded(folder: str, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All filters as one table, with where each starts and how many bits it has."""
+def names_in(folder: str) -> list[str]:
     import pyarrow.fs as pfs
 
     fs, path = common.filesystem(folder)
-    there = {int(i.base_name) for i in fs.get_file_info(pfs.FileSelector(path, allow_not_found=True)) if not i.base_name.startswith(".")}
+    return sorted(i.base_name for i in fs.get_file_info(pfs.FileSelector(path, allow_not_found=True)) if not i.base_name.startswith("."))
+
+
+@lru_cache(maxsize=1)
+def hot_anchors(folder: str) -> np.ndarray:
+    """The anchors (less their lowest bits) at many places, in order."""
+    return np.sort(np.concatenate([np.empty(0, U), *[np.frombuffer(common.get_file(f"{folder}-hot/{x}"), "<u8") for x in names_in(f"{folder}-hot")]]))
+
+
+@lru_cache(maxsize=1)
+def loaded(folder: str, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All filters as one table, with where each starts and how many bits it has."""
+    there = set(map(int, names_in(folder)))
     parts = [np.frombuffer(common.get_file(f"{folder}/{b:06d}"), np.uint8) if b in there else np.zeros(0, np.uint8) for b in range(buckets)]
     sizes = np.fromiter(map(len, parts), np.int64, buckets)
     return np.concatenate([*parts, np.zeros(1, np.uint8)]), np.cumsum(sizes) - sizes, 8 * sizes
@@ -161,6 +178,23 @@ def may_share(a: np.ndarray, folder: str, buckets: int) -> np.ndarray:
     return ok
 
 
+def is_in(values: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Which values are among those in order."""
+    if not len(among):
+        return np.zeros(len(values), bool)
+    return among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values
+
+
+def string_hashes(data: bytes, begin: np.ndarray) -> np.ndarray:
+    """Hashes of the strings of MATCH bytes from places on."""
+    raw = np.frombuffer(data, np.uint8)
+    h = np.zeros(len(begin), U)
+    for off in range(MATCH):
+        h = (h ^ raw[begin + off]) * U(0x9E3779B97F4A7C15)
+        h ^= h >> U(29)
+    return mix(h)
+
+
 SNIPPETS = "shard int, sizes binary, data binary, uses binary, docs binary, tags binary, starts binary"
 
 
@@ -168,6 +202,7 @@ def snippets(docs: DataFrame, folder: str, buckets: int, shards: int) -> DataFra
     """Distinct snippets of each chunk by shard, with the documents and places they are at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.only_cache("anchors", lambda: (loaded.cache_clear(), hot_anchors.cache_clear()))
         for batch in batches:
             for lo, hi in common.texts(batch):
                 rows = batch.slice(lo, hi - lo)
@@ -184,15 +219,21 @@ def snippets(docs: DataFrame, folder: str, buckets: int, shards: int) -> DataFra
                 begin, stop = begin[ok], stop[ok]
                 if not len(begin):
                     continue
-                pieces = -(-(stop - begin) // LONGEST)
+                # Snippets of an anchor at very many places are cut into their strings, which go to shards each by itself.
+                hot = is_in(a[begin] >> U(17), hot_anchors(folder))
+                most = np.where(hot, 1, LONGEST)
+                pieces = -(-(stop - begin) // most)
                 step = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                end = np.repeat(stop, pieces)
-                begin = np.repeat(begin, pieces) + LONGEST * step
-                stop = np.minimum(end, begin + LONGEST) + MATCH - 1
+                end, most, hot = np.repeat(stop, pieces), np.repeat(most, pieces), np.repeat(hot, pieces)
+                begin = np.repeat(begin, pieces) + most * step
+                stop = np.minimum(end, begin + most) + MATCH - 1
+                place = a[begin] >> U(20)
+                if hot.any():
+                    place[hot] = string_hashes(data, begin[hot])
                 text = np.searchsorted(first, begin, "right") - 1
                 ids = rows.column(0).to_numpy(zero_copy_only=False)
                 doc, tag, at = ids[text], tags[text], begin - first[text]
-                shard = ((a[begin] >> U(20)) % U(shards)).astype(np.int64)
+                shard = (place % U(shards)).astype(np.int64)
                 order = np.argsort(shard, kind="stable")
                 cuts = np.searchsorted(shard[order], np.arange(shards + 1))
                 out = {k: [] for k in ("shard", "sizes", "data", "uses", "docs", "tags", "starts")}
@@ -214,7 +255,7 @@ def snippets(docs: DataFrame, folder: str, buckets: int, shards: int) -> DataFra
     return docs.mapInArrow(common.lean(run), SNIPPETS)
 
 
-def owners(contents: list[bytes], least: np.ndarray, memory: int = 64 << 20) -> tuple[np.ndarray, np.ndarray]:
+def owners(contents: list[bytes], least: np.ndarray, spill: str, memory: int = 64 << 20) -> tuple[np.ndarray, np.ndarray]:
     """For each string of MATCH bytes of the distinct contents, in order, the smallest document of equal ones; and where each content's strings start."""
     sizes = np.fromiter(map(len, contents), np.int64, len(contents))
     text = np.frombuffer(b"\0".join([*contents, b""]), np.uint8).astype(np.uint16) + np.uint16(2)
@@ -223,7 +264,7 @@ def owners(contents: list[bytes], least: np.ndarray, memory: int = 64 << 20) ->
     text[-1] = 0
     count = sizes - MATCH + 1
     first = np.cumsum(count) - count
-    order = suffix_array(text, 258, MATCH, memory)
+    order = suffix_array(text, 258, MATCH, spill, memory)
     owner = np.repeat(np.arange(len(contents)), sizes + 1)
     inside = np.arange(len(text)) - begin[owner] < count[owner]
     order = order[inside[order]].astype(np.int64)
@@ -241,7 +282,7 @@ def owners(contents: list[bytes], least: np.ndarray, memory: int = 64 << 20) ->
     return out, first
 
 
-def removed(parts: DataFrame, doc_buckets: int) -> DataFrame:
+def removed(parts: DataFrame, doc_buckets: int, spill: str) -> DataFrame:
     """Packed (document, start, end) of removed strings, by the document's bucket."""
 
     def solve(held: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +301,7 @@ def removed(parts: DataFrame, doc_buckets: int) -> DataFrame:
         np.minimum.at(least, which, docs)
         contents = list(index)
         index.clear()
-        own, first = owners(contents, least)
+        own, first = owners(contents, least, spill)
         lowest, highest = np.minimum.reduceat(own, first), np.maximum.reduceat(own, first)
         size = np.fromiter(map(len, contents), np.int64, len(contents))
         whole = highest[which] < docs
@@ -315,7 +356,7 @@ def cut_text(data: bytes, spans: np.ndarray) -> tuple[bytes, list[tuple[int, int
     return b"".join([*kept, data[at:]]), [(s, e) for s, e in runs]
 
 
-def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
+def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = False, hot: int = HOT) -> DataFrame:
     """A row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and ``kept`` (the bytes left) if asked."""
     spark = df.sparkSession
     common.small_batches(spark)
@@ -325,10 +366,11 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", with_
     shards = max(1, -(-size // (5 << 20)))
     doc_buckets = max(1, -(-size // (24 << 20)))
     folder = common.scratch(spark, "anchors")
-    filters(anchor_blocks(docs, buckets), folder, buckets)
+    filters(anchor_blocks(docs, buckets), folder, buckets, hot)
     parts = min(shards, 20_000)
     placed = snippets(docs, folder, buckets, shards).repartitionById(parts, F.col("shard") % parts).sortWithinPartitions("shard")
-    places = common.materialize(removed(placed, doc_buckets), "removed")
+    places = common.materialize(removed(placed, doc_buckets, f"{folder}-spill"), "removed")
+    common.discard(spark, folder, f"{folder}-hot", f"{folder}-spill")
     once = places.groupBy("bucket").agg(F.array_distinct(F.flatten(F.collect_list("docs"))).alias("docs"))  # a document is in many shards
     hit = common.bloom(once.select(F.explode("docs").alias("id")), "id")
     schema = RESULT + (", kept binary" if with_text else "")

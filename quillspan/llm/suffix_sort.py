@@ -3,59 +3,50 @@
 Suffixes are L (greater than the next) or S (smaller); those of the leftmost S of a run (S*) are sorted first, all others
 follow by induction: scanning the sorted ones from the smallest, each suffix tells the place of the L suffix before it,
 and from the largest that of the S suffix before it. The scan's frontier is a monotone priority queue of suffix tuples with
-a bucket for each first letter; a bucket is written to a scratch file when the queue's memory is full and read when
+a bucket for each first letter; a bucket is written to a file in the shared folder when the queue's memory is full and read when
 the scan gets there. The S* suffixes are named by an induction over their substrings; if names repeat, the reduced
 string of names is sorted by doubling, which stops when it tells ``depth`` letters apart.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 
 import numpy as np
 
+from quillspan.llm import common
+
 
 class BucketQueue:
-    """Arrays of suffixes by first letter, in order of arrival; the fullest bucket goes to disk beyond ``memory`` bytes."""
+    """Arrays of suffixes by first letter, in order of arrival; beyond ``memory`` bytes the fullest bucket goes to a file of the folder ``spill``, which may be in any store."""
 
-    def __init__(self, letters: int, memory: int) -> None:
+    def __init__(self, letters: int, spill: str, memory: int) -> None:
         self.held: list[list[np.ndarray]] = [[] for _ in range(letters)]
-        self.files: dict[int, list[tuple[str, int]]] = {}
-        self.size, self.memory, self.folder = 0, memory, None
+        self.files: dict[int, list[str]] = {}
+        self.size, self.memory, self.folder = 0, memory, f"{spill}/{uuid.uuid4().hex}"
 
     def push(self, letter: int, items: np.ndarray) -> None:
         self.held[letter].append(items)
         self.size += items.nbytes
         if self.size > self.memory:
-            full = max(range(len(self.held)), key=lambda c: sum(a.nbytes for a in self.held[c]))
-            self.spill(full)
+            self.spill(max(range(len(self.held)), key=lambda c: sum(a.nbytes for a in self.held[c])))
 
     def spill(self, letter: int) -> None:
-        if self.folder is None:
-            self.folder = tempfile.TemporaryDirectory(prefix="induce-")
         data = np.concatenate(self.held[letter])
-        name = os.path.join(self.folder.name, f"{letter}-{len(self.files.get(letter, []))}")
-        data.tofile(name)
-        self.files.setdefault(letter, []).append((name, len(data)))
+        names = self.files.setdefault(letter, [])
+        names.append(f"{self.folder}/{letter}-{len(names)}")
+        common.put_file(names[-1], data.tobytes())
         self.size -= data.nbytes
         self.held[letter] = []
 
     def pop(self, letter: int, dtype: type) -> np.ndarray:
         """All items of a letter, in order of arrival."""
-        parts = []
-        for name, _ in self.files.pop(letter, []):
-            parts.append(np.fromfile(name, dtype))
-            os.remove(name)
+        parts = [np.frombuffer(common.get_file(name), dtype) for name in self.files.pop(letter, [])]
         parts += self.held[letter]
         self.size -= sum(a.nbytes for a in self.held[letter])
         self.held[letter] = []
         return np.concatenate(parts) if parts else np.empty(0, dtype)
 
-    def close(self) -> None:
-        if self.folder is not None:
-            self.folder.cleanup()
-
 
 def types(t: np.ndarray) -> np.ndarray:
     """True for S suffixes; the last one counts as S."""
@@ -77,11 +68,11 @@ def deal(queue: BucketQueue, t: np.ndarray, items: np.ndarray, letters: int) ->
         queue.push(c, items[order[cuts[c] : cuts[c + 1]]])
 
 
-def induce(t: np.ndarray, is_s: np.ndarray, stars: np.ndarray, letters: int, memory: int) -> np.ndarray:
+def induce(t: np.ndarray, is_s: np.ndarray, stars: np.ndarray, letters: int, spill: str, memory: int) -> np.ndarray:
     """All suffixes sorted, given the S* ones in order."""
     dtype = stars.dtype.type
     cuts = np.searchsorted(t[stars], np.arange(letters + 1))
-    queue = BucketQueue(letters, memory)
+    queue = BucketQueue(letters, spill, memory)
     last = len(t) - 1
     l_part: list[np.ndarray] = []
     for c in range(letters):
@@ -100,8 +91,7 @@ def induce(t: np.ndarray, is_s: np.ndarray, stars: np.ndarray, letters: int, mem
         before = before[~is_s[before]]
         if len(before):
             deal(queue, t, before, letters)
-    queue.close()
-    queue = BucketQueue(letters, memory)
+    queue = BucketQueue(letters, spill, memory)
     out: list[np.ndarray] = []
     for c in range(letters - 1, -1, -1):
         done, now = [], queue.pop(c, dtype)
@@ -121,11 +111,10 @@ def induce(t: np.ndarray, is_s: np.ndarray, stars: np.ndarray, letters: int, mem
         if len(before):
             deal(queue, t, before, letters)
         out += [*done, big]
-    queue.close()
     return np.concatenate(out)[::-1]
 
 
-def suffix_array(t: np.ndarray, letters: int, depth: int, memory: int = 64 << 20) -> np.ndarray:
+def suffix_array(t: np.ndarray, letters: int, depth: int, spill: str, memory: int = 64 << 20) -> np.ndarray:
     """Suffixes of ``t`` (small ints below ``letters``; the last one is 0 and the only 0) in order, as far as their first ``depth`` letters tell."""
     n = len(t)
     if n < 2:
@@ -135,7 +124,7 @@ def suffix_array(t: np.ndarray, letters: int, depth: int, memory: int = 64 << 20
     star = np.flatnonzero(is_s[1:] & ~is_s[:-1]).astype(dtype) + 1
     if len(star) > 1:
         # Induce from S* suffixes in order of their first letter alone: their substrings come out sorted.
-        rough = induce(t, is_s, star[np.argsort(t[star], kind="stable")], letters, memory)
+        rough = induce(t, is_s, star[np.argsort(t[star], kind="stable")], letters, spill, memory)
         where = np.zeros(n, bool)
         where[star] = True
         star_order = rough[where[rough]]
@@ -166,4 +155,4 @@ def suffix_array(t: np.ndarray, letters: int, depth: int, memory: int = 64 << 20
             new[order] = np.cumsum(np.append([0], key[1:] != key[:-1]))
             rank, step = new, step * 2
         star = star[np.argsort(rank, kind="stable")]
-    return induce(t, is_s, star, letters, memory)
+    return induce(t, is_s, star, letters, spill, memory)

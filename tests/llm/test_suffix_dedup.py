@@ -9,11 +9,11 @@ from quillspan.llm.suffix_sort import suffix_array
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_suffixes_come_sorted(seed):
+def test_suffixes_come_sorted(seed, tmp_path):
     rng = np.random.default_rng(seed)
     for _ in range(400):
         t = np.append(rng.integers(1, rng.integers(2, 6), int(rng.integers(1, 60))), 0).astype(np.uint16)
-        got = suffix_array(t, 6, 1000, memory=int(rng.integers(8, 300)))
+        got = suffix_array(t, 6, 1000, str(tmp_path), memory=int(rng.integers(8, 300)))
         assert got.tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
 
 
@@ -54,11 +54,12 @@ def made(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_table_matches_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "hot"), [(0, sd.HOT), (1, sd.HOT), (2, 5), (3, 0)])
+def test_table_matches_brute_force(spark, seed, hot):
+    """With no, some and all anchors hot."""
     rows = made(seed)
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, bucket string").repartition(4)
-    got = sorted((tuple(r) for r in sd.remove_repeats(df).collect()), key=str)
+    got = sorted((tuple(r) for r in sd.remove_repeats(df, hot=hot).collect()), key=str)
     assert got == brute(rows)
 
 
