@@ -149,10 +149,10 @@ def suffix_array(t: np.ndarray, letters: int, depth: int, spill: str, memory: in
         while step <= depth and rank.max() < len(star) - 1:
             ahead = np.append(rank[step:], np.full(min(step, len(star)), -1))[: len(star)]
             key = rank * (len(star) + 1) + ahead + 1
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             key = key[order]
             new = np.empty_like(rank)
             new[order] = np.cumsum(np.append([0], key[1:] != key[:-1]))
             rank, step = new, step * 2
-        star = star[np.argsort(rank, kind="stable")]
+        star = star[np.argsort(rank)]
     return induce(t, is_s, star, letters, spill, memory)
