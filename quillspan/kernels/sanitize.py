@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 #: Names of rules.
 JSON_RULES = {
@@ -275,6 +276,13 @@ def load_yaml(text: str) -> tuple[bool, str, object]:
         return False, str(e), None
 
 
+@lru_cache(maxsize=16)
+def yaml_error(text: str) -> str | None:
+    """What is wrong with a YAML text; None if nothing. A repair asks it of the same text several times."""
+    ok, error, _ = load_yaml(text)
+    return None if ok else error
+
+
 def scalar(text: str) -> object:
     text = text.strip()
     if text.startswith('"') and text.endswith('"') and len(text) > 1:
@@ -371,8 +379,8 @@ def simple_yaml(text: str) -> tuple[bool, str, object]:
 
 def yaml_issues(text: str) -> list[Issue]:
     out = [Issue(rule, YAML_RULES[rule], m.start(), m.end()) for rule, p in (("tab_indent", TAB), ("missing_space_after_colon", COLON), ("list_dash_no_space", DASH)) for m in p.finditer(text)]
-    ok, error, _ = load_yaml(text)
-    if not ok:
+    error = yaml_error(text)
+    if error is not None:
         rule = "duplicate_key" if "duplicate key" in error else "parse_error"
         if rule == "duplicate_key" or not out:
             out.append(Issue(rule, error, 0, len(text)))
@@ -400,8 +408,8 @@ def lint(text: str, kind: str, options: Options = Options()) -> list[Issue]:
 
 def sanitize(text: str, kind: str, options: Options = Options()) -> Result:
     r = Result(text, text)
-    parse = strict_json if kind == "json" else load_yaml
-    r.original_strict_parse_clean = parse(text)[0]
+    wrong = yaml_error if kind == "yaml" else lambda t: None if (got := strict_json(t))[0] else got[1]
+    r.original_strict_parse_clean = wrong(text) is None
     for _ in range(options.max_iterations):
         issues = lint(r.sanitized, kind, options)
         if not issues:
@@ -418,9 +426,9 @@ def sanitize(text: str, kind: str, options: Options = Options()) -> Result:
         if r.sanitized == before:
             break
     r.issues = lint(r.sanitized, kind, options)
-    ok, error, _ = parse(r.sanitized)
-    r.parse_clean = r.strict_parse_clean = ok
-    r.errors = [] if ok else [error]
+    error = wrong(r.sanitized)
+    r.parse_clean = r.strict_parse_clean = error is None
+    r.errors = [] if error is None else [error]
     r.lint_clean = not r.issues
     return r
 
