@@ -142,3 +142,19 @@ def test_training_draws_from_whole_texts():
         got = language.Chains([language.drawn(c)])
         assert len(got.starts) == language.TRAIN_WORDS and got.joined == language.drawn(c)
     assert language.drawn(language.Chains(["two words\nmore"])) == language.Chains(["two words\nmore"]).joined
+
+
+def test_held_out_rows_and_other_columns_do_not_influence_scores(spark, tmp_path):
+    """The registered queries on the smallest tables, and on them with labels, languages and sources of held-out rows changed."""
+    from pyspark.sql import functions as F
+
+    from quillspan.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    out3, out6 = language.held_out("doc_id", 5, 0), language.held_out("doc_id", 4, 2)
+    docs.withColumns({"lang": F.when(out3, "xx").otherwise(F.col("lang")), "source": F.lit("other")}).write.parquet(str(tmp_path / "documents.parquet"))
+    labels.withColumn("toxic", F.when(out6, 1 - F.col("toxic")).otherwise(F.col("toxic"))).write.parquet(str(tmp_path / "labels.parquet"))
+    for query in (queries.op3_language, queries.op6_toxicity):
+        before, after = ({r.doc_id: r for r in query(spark, d).collect()} for d in (sf, str(tmp_path)))
+        assert before == after and len(before) == docs.count() and any(r.held_out for r in before.values())
