@@ -445,7 +445,7 @@ def stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='quillspan-')}"
     at = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    src = stream.read_stream(spark, sf_dir, docs(spark, sf_dir).schema, glob="documents.parquet")
+    src = stream.read_stream(spark, f"{sf_dir}/documents.parquet", docs(spark, sf_dir).schema)
     stream.apply_stream(src, lambda d: chunk.native_lines(d).select("doc_id", "ordinal"), f"{at}/out", f"{at}/state").awaitTermination()
     return spark.read.schema("doc_id long, ordinal int").parquet(f"{at}/out").groupBy("doc_id").agg(F.count("*").alias("n_lines"))
 

@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 
 
 def read_stream(spark: SparkSession, folder: str, schema, files_per_trigger: int = 64, format: str = "parquet", glob: str | None = None) -> DataFrame:  # noqa: ANN001
+    """A stream of a folder's files, or of one file. ``glob`` filters names of data files, so it doesn't find a table that is a folder itself."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+    name = at.getName()
+    if found and found[0].isFile() and found[0].getPath().getName() == name:
+        folder = f"{folder.rstrip('/').removesuffix(name)}[{name[0]}]{name[1:]}"  # Spark streams a single file only by a pattern
     r = spark.readStream.format(format).schema(schema).option("maxFilesPerTrigger", files_per_trigger)
     return (r.option("pathGlobFilter", glob) if glob else r).load(folder)
 

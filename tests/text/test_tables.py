@@ -57,3 +57,17 @@ def test_files(spark, tmp_path):
     assert got == {"a.json": '{"k": [1]}', "b.yaml": '{"k": "v"}'}
     df = spark.createDataFrame([("é🙂",)], "text string")
     assert files.write_texts(df, str(tmp_path / "out")).first().bytes == 3
+
+
+@pytest.mark.parametrize("as_folder", [False, True])
+def test_stream_reads_tables_of_one_file_or_many(spark, tmp_path, as_folder):
+    df = spark.createDataFrame([(i, "a\nb\n" * (i + 1)) for i in range(9)], "doc_id long, text string")
+    path = tmp_path / "sf" / "documents.parquet"
+    df.coalesce(1).write.parquet(str(tmp_path / "sf" / "old" / "documents.parquet"))  # not of this table
+    if as_folder:
+        df.repartition(3).write.parquet(str(path))
+    else:
+        df.coalesce(1).write.parquet(str(tmp_path / "one"))
+        next((tmp_path / "one").glob("*.parquet")).rename(path)
+    got = first.queries()["stream_lines"](spark, str(tmp_path / "sf")).collect()
+    assert sorted(map(tuple, got)) == [(i, 2 * (i + 1)) for i in range(9)]
