@@ -34,7 +34,8 @@ def view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select("doc_id", F.expr(BODY).alias("text"))
+    """Nulls are left out of a body, as ``concat`` of the SQL does; Spark's would make the whole body null."""
+    return docs(spark, sf_dir).select("doc_id", F.expr(BODY.replace("concat(", "concat_ws('', ")).alias("text"))
 
 
 def linked(spark: SparkSession, sf_dir: str) -> DataFrame:

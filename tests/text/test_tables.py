@@ -71,3 +71,14 @@ def test_stream_reads_tables_of_one_file_or_many(spark, tmp_path, as_folder):
         next((tmp_path / "one").glob("*.parquet")).rename(path)
     got = first.queries()["stream_lines"](spark, str(tmp_path / "sf")).collect()
     assert sorted(map(tuple, got)) == [(i, 2 * (i + 1)) for i in range(9)]
+
+
+def test_blocks_of_documents_with_nulls_match_sql(spark, tmp_path):
+    rows = [(1, None, "en", "s", 0), (2, "a\nb", None, "s", 3), (3, "é🙂", "de", None, 2), (4, "a", "de", "s", None), (5, None, None, None, None), (6, "", "", "", 0), (7, "a\n\nb", "en", "s", 4)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    df = first.queries()["md_blocks"](spark, str(tmp_path))
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = c.sql(first.oracle_sql()["md_blocks"])
+    assert {r.doc_id for r in df.collect()} == set(range(1, 8))
+    assert flat([tuple(r) for r in df.collect()], df.columns) == flat(want.fetchall(), want.columns)
